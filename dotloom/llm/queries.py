@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, packing, tokens, topk, url_filter
+from . import exact_dedup, jaccard, packing, tokens, topk, toxicity, url_filter
 from .common import table
 
 
@@ -13,6 +13,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages")).drop("glob_hit")
 
@@ -22,6 +26,11 @@ def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_texts(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -35,7 +44,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_exact_dedup, op4_url_filter, op5_exact_topk, op8_best_fit_packing, op9_bpe_transducer, op10_token_counts)}
+    return {f.__name__: f for f in (op1_exact_dedup, op3_jaccard_join, op4_url_filter, op5_exact_topk, op6_toxicity, op8_best_fit_packing, op9_bpe_transducer, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -32,6 +32,29 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
 
+NEAR = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+         ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s
+  FROM w
+), t AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s
+), p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM t a JOIN t b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY ALL HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))
+), r AS (
+  SELECT x AS doc_id, x AS other FROM p
+  UNION
+  SELECT r.doc_id, p.y FROM r JOIN p ON r.other = p.x
+)
+SELECT s.doc_id, len(s.s) AS n_shingles, coalesce(min(r.other), s.doc_id) AS component_id
+FROM s LEFT JOIN r ON r.doc_id = s.doc_id GROUP BY s.doc_id, s.s
+"""
+
+
 def _glob_regex(glob: str) -> str:
     special = {"*": ".*", "?": "."}
     return "".join(special.get(c) or ("\\" + c if c in ".-+()[]{}|^$\\/" and c not in "-/" else c) for c in glob)
@@ -58,4 +81,4 @@ FROM u
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": EXACT, "op4_url_filter": url_sql(), "op5_exact_topk": TOP_K}
+    return {"op1_exact_dedup": EXACT, "op3_jaccard_join": NEAR, "op4_url_filter": url_sql(), "op5_exact_topk": TOP_K}
