@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard, packing, tokens, topk, toxicity, url_filter
+from . import exact_dedup, jaccard, packing, suffix_dedup, tokens, topk, toxicity, url_filter
 from .common import table
 
 
@@ -13,6 +13,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_bytes(table(spark, sf_dir, "documents"))
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -44,7 +48,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_exact_dedup, op3_jaccard_join, op4_url_filter, op5_exact_topk, op6_toxicity, op8_best_fit_packing, op9_bpe_transducer, op10_token_counts)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_suffix_dedup, op3_jaccard_join, op4_url_filter, op5_exact_topk, op6_toxicity, op8_best_fit_packing, op9_bpe_transducer, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
