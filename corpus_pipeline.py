@@ -3,25 +3,52 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from dotloom.llm.common import materialize, table
 from dotloom.llm.exact_dedup import drop_exact_copies
+from dotloom.llm.jaccard import keep_one_of_each
 from dotloom.llm.packing import pack_documents
+from dotloom.llm.suffix_dedup import cut_repeats
+from dotloom.llm.toxicity import drop_toxic
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts stays."""
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score 0.3 or more for toxicity go."""
+    return drop_toxic(docs.select(*COLUMNS), table(spark, sf_dir, "labels"))
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts equal up to white space, the row with the smallest doc_id stays."""
     return drop_exact_copies(docs).select(*COLUMNS)
 
 
-def _pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by similar shingles, the row with the smallest doc_id stays."""
+    return keep_one_of_each(docs).select(*COLUMNS)
+
+
+def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes of 200-byte strings that also start elsewhere go; n_chars is that of the remaining text."""
+    cut = cut_repeats(docs.select(*COLUMNS))
+    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*COLUMNS)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is left goes into sequences of 4096 tokens."""
     return pack_documents(docs)
 
 
-STAGES = [("exact dedup", _exact), ("best-fit packing", _pack)]
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("exact dedup", exact_stage),
+    ("jaccard join", near_stage),
+    ("suffix dedup", suffix_stage),
+    ("best-fit packing", packing_stage),
+]
+#: Hashed features and transducers are beyond SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard, packing, suffix_dedup, tokens, topk, toxicity, url_filter
+from . import exact_dedup, jaccard, licenses, packing, suffix_dedup, tokens, topk, toxicity, url_filter
 from .common import table
 
 
@@ -35,6 +35,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_texts(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -48,7 +52,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_suffix_dedup, op3_jaccard_join, op4_url_filter, op5_exact_topk, op6_toxicity, op8_best_fit_packing, op9_bpe_transducer, op10_token_counts)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_suffix_dedup, op3_jaccard_join, op4_url_filter, op5_exact_topk, op6_toxicity, op7_license_scan, op8_best_fit_packing, op9_bpe_transducer, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
