@@ -77,7 +77,7 @@ def in_range(dots: DataFrame, start: str | None = None, end: str | None = None,
     return dots
 
 
-def check_range(start, end, start_inclusive=True, end_inclusive=True) -> None:
+def check_range(start=None, end=None, start_inclusive=True, end_inclusive=True) -> None:
     for name, value in (("range_start", start), ("range_end", end)):
         if value is not None and not isinstance(value, (str, bytes)):
             raise ValueError(f"{name} must be a string or bytes: {value!r}")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def read_words(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """(element): lines of text files without a trailing carriage return; at most ``limit`` of them."""
-    words = spark.read.text(path).select(F.rtrim(F.lit("\r"), F.col("value")).alias("element"))
+    words = spark.read.text(path).select(F.rtrim("value", F.lit("\r")).alias("element"))
     return words if limit is None else words.limit(limit)
 
 
