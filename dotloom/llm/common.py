@@ -10,6 +10,9 @@ Rules that all operators of this subpackage keep:
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -52,6 +55,18 @@ def drop_materialized(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def fresh_names(taken: list[str], *wanted: str) -> list[str]:
+    """Column names like those wanted that no column has, whatever the case."""
+    lower = {c.lower() for c in taken}
+    out = []
+    for name in wanted:
+        name = f"__{name}"
+        while name.lower() in lower:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def partitions(spark: SparkSession) -> int:
     """Shuffle partitions of the session; packed exchanges make a few buckets for each."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
@@ -204,6 +219,33 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, size: int = 5):
     return out, hashes
 
 
+#: Bytes of an Arrow batch between the JVM and a Python worker.
+BATCH_BYTES = 4 << 20
+
+
+def _give_back() -> None:
+    """Hand freed memory back to the system, for workers outlive their tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(function):
+    """For mapInArrow: batches bounded in bytes, and a worker that keeps no memory after the task."""
+    session = SparkSession.getActiveSession()
+    if session is not None:
+        session.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            _give_back()
+
+    return run
+
+
 def deal(df: DataFrame, column: str = "pid", extra: list[str] | None = None) -> DataFrame:
     """Bring packed rows of equal ``column`` together, in order, without an aggregate."""
     return df.repartition(partitions(df.sparkSession), F.col(column)).sortWithinPartitions(column, *(extra or []))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions, text_of
+from .common import materialize, partitions, text_of, tidy
 
 _SPACES = re.compile(rb"[\x20\x09-\x0D]+")
 
@@ -166,18 +166,18 @@ def _chain(batches):
         yield done()
 
 
-def build_index(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", bucket_capacity: int = 1000, max_depth: int = 14, combine_bytes: int = 48 << 20) -> tuple[DataFrame, DataFrame]:
+def build_index(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", bucket_capacity: int = 1000, max_depth: int = 14, combine_bytes: int = 24 << 20) -> tuple[DataFrame, DataFrame]:
     """(keys of all rows, index): the index has key, link (place in the chain), sha, keep_id, group_size."""
     spark = docs.sparkSession
     pair = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    keys = materialize(pair.mapInArrow(_keys, "id long, key long, sha string"), "exact-keys")
+    keys = materialize(pair.mapInArrow(tidy(_keys), "id long, key long, sha string"), "exact-keys")
     prefix = F.shiftrightunsigned("key", 64 - max_depth)
     counted = keys.groupBy("key").agg(F.lit(1).alias("one")).groupBy(prefix.alias("p")).count()
     # At most 2 ** max_depth rows come to the driver.
     depth, directory = build_directory({r.p: r["count"] for r in counted.collect()}, bucket_capacity, max_depth)
     numbers: dict[tuple[int, int], int] = {}
     cells = [(i, numbers.setdefault(b, len(numbers))) for i, b in enumerate(directory)]
-    entries = pair.mapInArrow(_entries(combine_bytes), "key long, norm binary, low_id long, n long")
+    entries = pair.mapInArrow(tidy(_entries(combine_bytes)), "key long, norm binary, low_id long, n long")
     if depth:
         lookup = F.broadcast(spark.createDataFrame(cells, "cell int, bucket int"))
         cell = F.shiftrightunsigned("key", 64 - depth).cast("int")
@@ -185,7 +185,7 @@ def build_index(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     else:
         entries = entries.withColumn("bucket", F.lit(0))
     owned = entries.repartition(partitions(spark), "bucket").sortWithinPartitions("key")
-    index = materialize(owned.select("key", "norm", "low_id", "n").mapInArrow(_chain, "key long, link int, sha string, keep_id long, group_size long"), "exact-index")
+    index = materialize(owned.select("key", "norm", "low_id", "n").mapInArrow(tidy(_chain), "key long, link int, sha string, keep_id long, group_size long"), "exact-index")
     return keys, index
 
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_key, deal, materialize, partitions, shingle_sets, text_of, views
+from .common import by_key, deal, materialize, partitions, shingle_sets, text_of, tidy, views
 from .components import connected_components
 from .exchange import SCHEMA, dealt, may_hold, membership_filter, rows, source_number, taken
 
@@ -337,9 +337,9 @@ def shingle_nodes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("tkey"), text.alias("text"))
     buckets = 2 * partitions(docs.sparkSession)
-    sent = texts.mapInArrow(_send_prefixes(buckets, False, None), SCHEMA)
-    counted = deal(sent).mapInArrow(_count_holders(False), SCHEMA)
-    chosen = deal(counted).mapInArrow(_choose, "doc_id long, tkey long, node long, n long, candidate boolean")
+    sent = texts.mapInArrow(tidy(_send_prefixes(buckets, False, None)), SCHEMA)
+    counted = deal(sent).mapInArrow(tidy(_count_holders(False)), SCHEMA)
+    chosen = deal(counted).mapInArrow(tidy(_choose), "doc_id long, tkey long, node long, n long, candidate boolean")
     return materialize(chosen, "jaccard-rows"), texts
 
 
@@ -348,18 +348,18 @@ def near_links(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     spark = texts.sparkSession
     context, buckets = spark.sparkContext, 2 * partitions(spark)
     some = context.broadcast(membership_filter(nodes.where("candidate"), "tkey"))  # 2 MB
-    sent = texts.mapInArrow(_send_prefixes(buckets, True, some), SCHEMA)
-    counted = deal(sent).mapInArrow(_count_holders(True), SCHEMA)
-    grouped = materialize(deal(counted).mapInArrow(_rare_first(buckets), SCHEMA), "jaccard-groups")
+    sent = texts.mapInArrow(tidy(_send_prefixes(buckets, True, some)), SCHEMA)
+    counted = deal(sent).mapInArrow(tidy(_count_holders(True)), SCHEMA)
+    grouped = materialize(deal(counted).mapInArrow(tidy(_rare_first(buckets)), SCHEMA), "jaccard-groups")
 
     def keys(batches):
         for batch in batches:
             yield pa.record_batch([pa.array(np.frombuffer(b"".join(batch.column("data").to_pylist()), "<i8"))], ["tkey"])
 
-    fewer = context.broadcast(membership_filter(grouped.where("kind = 0").mapInArrow(keys, "tkey long"), "tkey"))
-    pairs = deal(grouped.where("kind = 1")).mapInArrow(_regions, "pivot long, node long").distinct()
+    fewer = context.broadcast(membership_filter(grouped.where("kind = 0").mapInArrow(tidy(keys), "tkey long"), "tkey"))
+    pairs = deal(grouped.where("kind = 1")).mapInArrow(tidy(_regions), "pivot long, node long").distinct()
     member = materialize(pairs, "jaccard-regions")
-    whole = materialize(texts.mapInArrow(_whole_sets(fewer), "node long, shingles binary").dropDuplicates(["node"]), "jaccard-sets")
+    whole = materialize(texts.mapInArrow(tidy(_whole_sets(fewer)), "node long, shingles binary").dropDuplicates(["node"]), "jaccard-sets")
 
     # Each block of a region has its members, and the pivot once more.
     sizes = member.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
@@ -367,7 +367,7 @@ def near_links(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     split = member.join(sizes, "pivot").select("pivot", "node", part.alias("part"))
     pivots = sizes.select("pivot", F.col("pivot").alias("node"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("part"))
     filled = split.unionByName(pivots).join(whole, "node").select("pivot", "node", "shingles", F.xxhash64("pivot", "part").alias("block"))
-    distances = materialize(deal(filled, "block").mapInArrow(_to_pivot, "pivot long, node long, d double, linked boolean"), "jaccard-distances")
+    distances = materialize(deal(filled, "block").mapInArrow(tidy(_to_pivot), "pivot long, node long, d double, linked boolean"), "jaccard-distances")
 
     # Outer sets, and of the core those that an outer one may reach.
     reach = 1 - LINK[0] / LINK[1] + 1e-9
@@ -393,7 +393,7 @@ def near_links(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     spread = around.select("pivot", "node", "d", F.explode(F.when(F.col("linked"), from_core).otherwise(F.concat(with_outer, with_core))).alias("x"))
     spread = spread.select("pivot", "node", "d", "x.side", "x.pair").join(whole, "node")
     tasks = spread.select("pivot", "node", "d", "side", "pair", "shingles", F.xxhash64("pivot", "pair").alias("task"))
-    outer_links = deal(tasks, "task").mapInArrow(_compare_blocks, "a long, b long")
+    outer_links = deal(tasks, "task").mapInArrow(tidy(_compare_blocks), "a long, b long")
     return distances.where("linked").select(F.col("pivot").alias("a"), F.col("node").alias("b")).unionByName(outer_links)
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, mix, prefix_hash, range_hash, text_of, views, words_in
+from .common import LOWER, mix, prefix_hash, range_hash, text_of, tidy, views, words_in
 
 _WORD = re.compile(rb"[a-z0-9\x80-\xff]+(?:\.[0-9]+)*")
 
@@ -151,4 +151,4 @@ def _scan(templates, threshold: float):
 def scan_licenses(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", templates=TEMPLATES, threshold: float = 0.9) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_matches (units), licenses (sorted names), best_license, best_dice."""
     pair = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return pair.mapInArrow(_scan(tuple(templates), threshold), "doc_id long, n_matches long, licenses string, best_license string, best_dice double")
+    return pair.mapInArrow(tidy(_scan(tuple(templates), threshold)), "doc_id long, n_matches long, licenses string, best_license string, best_dice double")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, tidy
 from .tokens import token_pieces
 
 
@@ -128,4 +128,4 @@ def pack_documents(docs: DataFrame, capacity: int = 4096, text_col: str = "text"
     base = by_task.select("length", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     numbered = pieces.join(base, ["length", "chunk"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("nth") + F.col("base")).alias("number"))
     table = np.array(runs, np.int64).reshape(-1, 6)
-    return numbered.mapInArrow(_place(table), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return numbered.mapInArrow(tidy(_place(table)), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -33,7 +33,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_of, work_dir
+from .common import text_of, tidy, work_dir
 
 
 def default_vocabulary() -> str:
@@ -341,7 +341,7 @@ def build_lexicon(docs: DataFrame, text_col: str = "text", vocabulary_path: str
     changes a result, only how many must be merged.
     """
     path = vocabulary_path or default_vocabulary()
-    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(_frequent(path, size, prune_at), "word string, n long")
+    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(tidy(_frequent(path, size, prune_at)), "word string, n long")
     top = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size).collect()  # a stated bound
     return _compile(docs.sparkSession, path, [r.word for r in top])
 
@@ -443,7 +443,7 @@ def token_digests(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
     path = vocabulary_path or default_vocabulary()
     name = lexicon_name or build_lexicon(docs, text_col, path)
     pair = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return pair.mapInArrow(_coded(path, name), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return pair.mapInArrow(tidy(_coded(path, name)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def _encoded(path: str, name: str):
@@ -463,7 +463,7 @@ def encode(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", voca
     path = vocabulary_path or default_vocabulary()
     name = lexicon_name or build_lexicon(docs, text_col, path)
     pair = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return pair.mapInArrow(_encoded(path, name), "doc_id long, ids array<int>")
+    return pair.mapInArrow(tidy(_encoded(path, name)), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocabulary_path: str | None = None) -> DataFrame:
@@ -479,7 +479,7 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", voc
             texts = [" ".join([strings[i] for i in ids or () if i is not None and 0 <= i < len(strings) and strings[i]]) for ids in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col)).mapInArrow(run, "doc_id long, text string")
+    return encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col)).mapInArrow(tidy(run), "doc_id long, text string")
 
 
 # -- pieces for packing -------------------------------------------------------------------------
@@ -518,7 +518,7 @@ def token_pieces(docs: DataFrame, capacity: int, text_col: str = "text", id_col:
     path = vocabulary_path or default_vocabulary()
     name = lexicon_name or vocabulary_lexicon(docs.sparkSession, path)
     pair = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return pair.mapInArrow(_pieces(path, name, capacity, end_id), "doc_id long, piece int, start long, length long, ids_crc32 long, chunk long, nth long")
+    return pair.mapInArrow(tidy(_pieces(path, name, capacity, end_id)), "doc_id long, piece int, start long, length long, ids_crc32 long, chunk long, nth long")
 
 
 # -- token counts by section --------------------------------------------------------------------
@@ -604,4 +604,4 @@ def section_token_counts(docs: DataFrame, text_col: str = "text", id_col: str =
         raise ValueError(f"rule must be one of {RULES}")
     path = vocabulary_path or default_vocabulary()
     pair = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return pair.mapInArrow(_section_counts(path, rule, section_chars), "doc_id long, section int, start long, `end` long, n_tokens long")
+    return pair.mapInArrow(tidy(_section_counts(path, rule, section_chars)), "doc_id long, section int, start long, `end` long, n_tokens long")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_key, deal, materialize
+from .common import by_key, deal, materialize, tidy
 
 _LEAF = 64
 
@@ -116,7 +116,7 @@ def _pack(df: DataFrame, key: str) -> DataFrame:
             floors = part.column("floor").to_numpy().astype(np.float64)
             yield pa.record_batch([pa.array([value], pa.int64()), pa.array([ids.astype(np.int64).tobytes()]), pa.array([flat.flatten().to_numpy().astype(np.int64).tobytes()]), pa.array([floors.tobytes()])], [key, "ids", "vs", "floors"])
 
-    return deal(df.select(key, "id", "v", "floor"), key, ["id"]).mapInArrow(run, f"{key} long, ids binary, vs binary, floors binary")
+    return deal(df.select(key, "id", "v", "floor"), key, ["id"]).mapInArrow(tidy(run), f"{key} long, ids binary, vs binary, floors binary")
 
 
 def _search(k: int, dim: int):
@@ -178,7 +178,7 @@ def top_k(base: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_i
 
     def searched(blocks, where):
         each = blocks.select(F.explode(where).alias("shard"), "block", "ids", "vs", "floors")
-        return deal(shard_rows_df.unionByName(each), "shard").mapInArrow(_search(k, dim), "query_id long, vec_id long, score long")
+        return deal(shard_rows_df.unionByName(each), "shard").mapInArrow(tidy(_search(k, dim)), "query_id long, vec_id long, score long")
 
     home = F.pmod(F.col("block"), F.lit(shards))
     blocks = _pack(asked.select("block", "id", "v", none), "block")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, mix, prefix_hash, range_hash, text_of, views, words_in
+from .common import LOWER, mix, prefix_hash, range_hash, text_of, tidy, views, words_in
 
 _LETTERS = np.zeros(256, bool)
 _LETTERS[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
@@ -122,7 +122,7 @@ def _features(bits: int):
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", max_train_rows: int = 12_000, bits: int = 20, **ftrl) -> Model:
+def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", max_train_rows: int = 8_000, bits: int = 20, **ftrl) -> Model:
     """Fit on the sample described above; its features, not its texts, come to the driver."""
     allowed = labels.where(F.col(label_col).isNotNull() & ~held_out(F.col(id_col)))
     allowed = allowed.groupBy(F.col(id_col).cast("long").alias("__id")).agg(F.max(label_col).cast("int").alias("__label"))
@@ -131,7 +131,7 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
     known = docs.select(F.col(id_col).cast("long").alias("__doc"), F.col(text_col).alias("__text"))
     both = known.join(F.broadcast(sample), known["__doc"] == sample["__id"])  # at most max_train_rows small rows
     rows = both.select(F.col("__order").alias("order"), F.col("__id").alias("id"), F.col("__label").alias("label"), F.col("__text").alias("text"))
-    got = rows.mapInArrow(_features(bits), "order long, id long, label int, slots binary").collect()
+    got = rows.mapInArrow(tidy(_features(bits)), "order long, id long, label int, slots binary").collect()
     # Fixed order: by hash, then by content for rows that repeat an id.
     examples = [(int(r.label != 0), np.frombuffer(r.slots, np.int32)) for r in sorted(got, key=lambda r: (r.order, r.id, bytes(r.slots)))]
     return fit_ftrl(examples, bits, **ftrl)
@@ -152,7 +152,7 @@ def _score(model):
 def score_texts(docs: DataFrame, model: Model, text_col: str = "text", id_col: str = "doc_id", threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted."""
     pair = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    scored = pair.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model)), "doc_id long, score double")
+    scored = pair.mapInArrow(tidy(_score(docs.sparkSession.sparkContext.broadcast(model))), "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -170,4 +170,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_co
             score = np.concatenate(parts) if parts else np.zeros(0)
             yield batch.filter(pa.array(score < threshold))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
