@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_key, deal, materialize, partitions, prefix_hash, range_hash, text_of, views
+from .common import by_key, deal, fresh_names, materialize, partitions, prefix_hash, range_hash, text_of, tidy, views
 from .exchange import SCHEMA, dealt, may_hold, membership_filter, rows, source_number, taken
 
 #: Bytes of a q-gram; windows hold length - GRAM + 1 of them.
@@ -376,19 +376,19 @@ def cut_texts(docs: DataFrame, length: int = 200, text_col: str = "text") -> tup
     buckets = 2 * partitions(spark)
     texts = _keyed(docs, text_col)
     copies = texts.groupBy("tkey").agg(F.count("*").alias("n")).where("n > 1").select("tkey")
-    sent = texts.mapInArrow(_send_suffixes(length, buckets), SCHEMA)
-    refined = deal(sent).mapInArrow(_refine, SCHEMA)
-    marks = deal(refined).mapInArrow(_marks, "tkey long, repeats binary, again binary")
+    sent = texts.mapInArrow(tidy(_send_suffixes(length, buckets)), SCHEMA)
+    refined = deal(sent).mapInArrow(tidy(_refine), SCHEMA)
+    marks = deal(refined).mapInArrow(tidy(_marks), "tkey long, repeats binary, again binary")
     # A text that several tasks hold has a row from each; equal answers are one.
     marks = materialize(marks.groupBy("tkey").agg(F.collect_set("repeats").alias("repeats"), F.collect_set("again").alias("again")), "suffix-marks")
     bitmap = spark.sparkContext.broadcast(membership_filter(marks, "tkey"))  # 2 MB
-    some = texts.mapInArrow(_chosen_texts(bitmap), "tkey long, text string").dropDuplicates(["tkey"])
+    some = texts.mapInArrow(tidy(_chosen_texts(bitmap)), "tkey long, text string").dropDuplicates(["tkey"])
     marked = materialize(some.join(marks, "tkey"), "suffix-texts")
-    windows = marked.select("tkey", "text", "again").mapInArrow(_send_windows(length, buckets), SCHEMA)
-    matched = deal(windows).mapInArrow(_match_windows, SCHEMA)
-    more = deal(matched).mapInArrow(_window_marks, "tkey long, windows binary").groupBy("tkey").agg(F.collect_list("windows").alias("windows"))
+    windows = marked.select("tkey", "text", "again").mapInArrow(tidy(_send_windows(length, buckets)), SCHEMA)
+    matched = deal(windows).mapInArrow(tidy(_match_windows), SCHEMA)
+    more = deal(matched).mapInArrow(tidy(_window_marks), "tkey long, windows binary").groupBy("tkey").agg(F.collect_list("windows").alias("windows"))
     both = marked.select("tkey", "text", "repeats").join(more, "tkey", "left")
-    cuts = both.mapInArrow(_cut(length), "tkey long, n_removed long, n_spans long, kept_sha256 string, kept binary").where("n_spans > 0")
+    cuts = both.mapInArrow(tidy(_cut(length)), "tkey long, n_removed long, n_spans long, kept_sha256 string, kept binary").where("n_spans > 0")
     return cuts, copies
 
 
@@ -416,14 +416,16 @@ def cut_repeats(docs: DataFrame, length: int = 200, text_col: str = "text") -> D
     A null text stays null, and so do all other columns as they are. No row is dropped.
     """
     cuts, copies = cut_texts(docs, length, text_col)
+    key, rest, copied, new = fresh_names(docs.columns, "key", "rest", "copied", "new")
+
     def text_from(batches):
         for batch in batches:
-            yield pa.record_batch([batch.column("tkey"), pa.array([b.decode("utf-8", "ignore") for b in batch.column("kept").to_pylist()], pa.string())], ["__key", "__kept"])
+            yield pa.record_batch([batch.column("tkey"), pa.array([b.decode("utf-8", "ignore") for b in batch.column("kept").to_pylist()], pa.string())], [key, rest])
 
-    kept = cuts.select("tkey", "kept").mapInArrow(text_from, "__key long, __kept string")
-    lost = kept.join(copies.select(F.col("tkey").alias("__key"), F.lit(True).alias("__copied")), "__key", "full_outer")
+    kept = cuts.select("tkey", "kept").mapInArrow(tidy(text_from), f"`{key}` long, `{rest}` string")
+    lost = kept.join(copies.select(F.col("tkey").alias(key), F.lit(True).alias(copied)), key, "full_outer")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    out = docs.join(lost, F.xxhash64(text) == F.col("__key"), "left")
-    whole = F.coalesce(F.col("__copied"), F.lit(False)) & (F.octet_length(text) >= length)
-    new = F.when(F.col(text_col).isNotNull(), F.when(whole, F.lit("")).otherwise(F.coalesce("__kept", text)))
-    return out.withColumn("__new", new).select(*[F.col("__new").alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    out = docs.join(lost, F.xxhash64(text) == F.col(key), "left")
+    whole = F.coalesce(F.col(copied), F.lit(False)) & (F.octet_length(text) >= length)
+    cut = F.when(F.col(text_col).isNotNull(), F.when(whole, F.lit("")).otherwise(F.coalesce(F.col(rest), text)))
+    return out.withColumn(new, cut).select(*[F.col(new).alias(c) if c == text_col else F.col(c) for c in docs.columns])
