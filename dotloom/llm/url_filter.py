@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of, views
+from .common import text_of, tidy, views
 
 #: (verdict, host, path prefix)
 DOMAIN_RULES = (
@@ -32,7 +32,7 @@ DOMAIN_RULES = (
 #: Globs over the canonical url ``host + path + ?query``: adverts, gambling, adult, trackers, archives.
 BLOCK_GLOBS = (
     "ads-*", "*.ads-*", "ads.*", "*.ads.*", "adserver*", "*.doubleclick.*", "*casino*", "*poker*", "*porn*", "xxx.*",
-    "*.xxx/*", "*track.*/*", "*/ads/*", "*/banner?/*", "*.exe", "*.zip", "*.apk", "*malware*", "*phish*", "*-win.*",
+    "*.xxx/*", "track.*", "*.track.*", "*-track.*", "*/ads/*", "*/banner?/*", "*.exe", "*.zip", "*.apk", "*malware*", "*phish*", "*-win.*",
 )
 
 
@@ -146,7 +146,7 @@ def judge_urls(pages: DataFrame, url_col: str = "url", keep: tuple[str, ...] = (
     lower = lambda c: F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     base = base.select(*keep, "host", "path", F.concat("host", lower(F.col("path")), lower(F.col("__query"))).alias("__canonical"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields) + ", glob_hit boolean"
-    hit = base.mapInArrow(_matcher(tuple(block_globs), "__canonical"), schema)
+    hit = base.mapInArrow(tidy(_matcher(tuple(block_globs), "__canonical")), schema)
     rule, verdict = _rules(domain_rules, F.col("host"), F.col("path"))
     glob_verdict = F.when(F.col("glob_hit"), "block").otherwise("allow")
     return hit.select(*keep, "host", "path", rule.alias("rule"), F.coalesce(verdict, glob_verdict).alias("verdict"), "glob_hit")
