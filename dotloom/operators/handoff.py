@@ -54,6 +54,24 @@ def hand_off(held: DataFrame, clock: DataFrame, sender: int, receiver: int, tomb
     )
 
 
+def wide_hand_off(wide: DataFrame, sender: int, receiver: int) -> Handoff:
+    """The same on a wide log, from an empty tombstone: three filters."""
+    if sender == receiver:
+        raise ValueError("a replica can't hand off to itself")
+    ks, kr, cs, cr = (F.col(f"{k}{r}") for k in ("held", "seen") for r in (sender, receiver))
+    held, tomb = kr | (ks & ~cr), cs & ~ks & cr
+    return WideHandoff(wide.where(cs | cr).select(*DOT), wide.where(held).select(*DOT), wide.where(tomb).select(*DOT), wide.where(held & ~tomb).select(*DOT))
+
+
+@dataclass
+class WideHandoff(Handoff):
+    kept: DataFrame
+
+    @property
+    def visible(self) -> DataFrame:
+        return self.kept
+
+
 def compact(held: DataFrame, tombstone: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(held without tombstoned dots, the empty tombstone)."""
     return held.join(tombstone, tombstone.columns, "left_anti"), tombstone.limit(0)

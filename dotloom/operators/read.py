@@ -34,14 +34,19 @@ def survivors(held: DataFrame, clock: DataFrame, quorum: tuple[int, ...]) -> Dat
     return each.where("held > 0 and n = 2 * held").select(*DOT)
 
 
-def wide_survivors(wide: DataFrame, quorum: tuple[int, ...]) -> DataFrame:
-    """The same on a wide log: a filter."""
+def live_flag(quorum: tuple[int, ...]) -> Column:
+    """On a wide log: whether the merged read of the quorum has the dot."""
     check_quorum(quorum)
     some, dropped = F.lit(False), F.lit(False)
     for r in quorum:
         some = some | F.col(f"held{r}")
         dropped = dropped | (F.col(f"seen{r}") & ~F.col(f"held{r}"))
-    return wide.where(some & ~dropped).select(*DOT)
+    return some & ~dropped
+
+
+def wide_survivors(wide: DataFrame, quorum: tuple[int, ...]) -> DataFrame:
+    """The same on a wide log: a filter."""
+    return wide.where(live_flag(quorum)).select(*DOT)
 
 
 def check_quorum(quorum: tuple[int, ...], least: int = 1) -> None:

@@ -256,23 +256,39 @@ def notfound_repairs(log):
 
 @query
 def read_repairs(log):
+    return repair.wide_repairs(log.wide, QUORUM)
+
+
+@query
+def read_repairs_relational(log):
+    """The same from long relations."""
     return repair.read_repairs(log.held, log.clock, QUORUM)
 
 
 @query
 def repair_summary(log):
-    return repair.read_repairs(log.held, log.clock, QUORUM).groupBy("replica", "action").agg(F.count("*").alias("n"), F.count_distinct("set_name", "element").alias("n_elements"))
+    return repair.wide_repairs(log.wide, QUORUM).groupBy("replica", "action").agg(F.count("*").alias("n"), F.count_distinct("set_name", "element").alias("n_elements"))
 
 
 @query
 def repair_apply(log):
-    """Dots that a repaired replica has beside the survivors: none."""
+    """What repaired replicas hold, and how much of it is in the merged read: all."""
+    held = repair.wide_repaired(log.wide, QUORUM)
+    live = _live(log).withColumn("live", F.lit(1))
+    n_live = live.groupBy().agg(F.count("*").alias("n_live"))
+    match = held.join(live, DOTS, "left").groupBy("r").agg(F.count("*").alias("n_held"), F.count("live").alias("n_common"))
+    return match.crossJoin(F.broadcast(n_live)).select("r", "n_held", "n_common", "n_live")  # one row a replica, one of totals
+
+
+@query
+def repair_apply_relational(log):
+    """The same by joins on long relations."""
     held, _ = repair.apply_repairs(log.held, log.clock, repair.read_repairs(log.held, log.clock, QUORUM))
     live = _live(log).withColumn("live", F.lit(1))
     mine = held.where(F.col("r").isin(*QUORUM))
     n_live = live.groupBy().agg(F.count("*").alias("n_live"))
     match = mine.join(live, DOTS, "left").groupBy("r").agg(F.count("*").alias("n_held"), F.count("live").alias("n_common"))
-    return match.crossJoin(F.broadcast(n_live)).select("r", "n_held", "n_common", "n_live")  # one row a replica, one of totals
+    return match.crossJoin(F.broadcast(n_live)).select("r", "n_held", "n_common", "n_live")
 
 
 # -- clocks
@@ -444,7 +460,13 @@ def key_order(log):
 
 
 def _handed(log: OpLog) -> handoff.Handoff:
-    return handoff.hand_off(log.held, log.clock, 2, 0)
+    return handoff.wide_hand_off(log.wide, 2, 0)
+
+
+@query
+def handoff_value_relational(log):
+    """The same from long relations."""
+    return read.by_element(handoff.hand_off(log.held, log.clock, 2, 0).visible)
 
 
 @query

@@ -249,6 +249,7 @@ FROM (SELECT DISTINCT set_name FROM a) s""",
         ),
     }
     out["merged_read_relational"] = out["merge_dots_arrays"] = out["merged_read"]
+    out |= {f"{name}_relational": out[name] for name in ("read_repairs", "repair_apply", "handoff_value")}
     orders = "events AS (SELECT o_orderkey AS event_id, o_orderpriority AS event_type, o_custkey AS user_id FROM orders), "
     out["orders_merged_read"] = "WITH " + orders + out["merged_read"].removeprefix("WITH ")
     return out
