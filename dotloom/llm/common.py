@@ -247,8 +247,14 @@ def tidy(function):
 
 
 def deal(df: DataFrame, column: str = "pid", extra: list[str] | None = None) -> DataFrame:
-    """Bring packed rows of equal ``column`` together, in order, without an aggregate."""
-    return df.repartition(partitions(df.sparkSession), F.col(column)).sortWithinPartitions(column, *(extra or []))
+    """Bring packed rows of equal ``column`` together, in order, without an aggregate.
+
+    Numbers go to partitions in turn, so that each has as many buckets; a sender's number is its
+    task's, shifted, and that of its packet.
+    """
+    n, key = partitions(df.sparkSession), F.col(column)
+    place = F.pmod(F.shiftright(key, 24) + key.bitwiseAND(F.lit((1 << 24) - 1)), F.lit(n)).cast("int")
+    return df.repartitionById(n, place).sortWithinPartitions(column, *(extra or []))
 
 
 def by_key(batches, key: str):
