@@ -545,21 +545,32 @@ def allocate(starts: np.ndarray, ends: np.ndarray, cuts: np.ndarray, rule: str)
     return out
 
 
-def _section_counts(path: str, rule: str, section_chars: int | None):
+def _section_counts(path: str, rule: str, section_chars: int | None, remember: int = 150_000):
+    """The first ``remember`` words stay in memory with their spans; later ones last for a batch."""
+
     def run(batches):
         vocab = vocabulary(path)
+        number: dict[str, int] = {}
+        starts_of: dict[str, bytes] = {}
+        ends_of: dict[str, bytes] = {}
         for batch in batches:
             docs = batch.column(0).to_pylist()
             texts = text_of(batch.column(1)).to_pylist()
             row = 0
             while row < len(texts):
                 rows, first, size = [], row, 0
-                while row < len(texts) and (not rows or size + len(texts[row]) <= 1 << 20):
+                while row < len(texts) and (not rows or size + len(texts[row]) <= 1 << 21):
                     size += len(texts[row])
                     rows.append(vocab.words(texts[row]))
                     row += 1
-                each = list({w for words in rows for w in words})
-                spans = dict(zip(each, vocab.spans(each), strict=True))
+                distinct: set[str] = set()
+                for words in rows:
+                    distinct.update(words)
+                new = list(distinct.difference(number))
+                for w, (a, b) in zip(new, vocab.spans(new), strict=True):
+                    number[w] = len(a)
+                    starts_of[w] = struct.pack(f"<{len(a)}i", *a)
+                    ends_of[w] = struct.pack(f"<{len(b)}i", *b)
                 out: list[pa.RecordBatch] = []
                 for doc, words, text in zip(docs[first:row], rows, texts[first:row], strict=True):
                     cuts = _cuts(text, section_chars)
@@ -569,15 +580,18 @@ def _section_counts(path: str, rule: str, section_chars: int | None):
                         where = (low if w not in vocab.special else text).index(w, where)
                         at.append(where)
                         where += len(w)
-                    n = [len(spans[w][0]) for w in words]
-                    base = np.repeat(np.array(at, np.int64), n)
-                    starts = base + np.array([x for w in words for x in spans[w][0]], np.int64)
-                    ends = base + np.array([x for w in words for x in spans[w][1]], np.int64)
+                    base = np.repeat(np.array(at, np.int64), np.fromiter(map(number.__getitem__, words), np.int64, len(words)))
+                    starts = base + np.frombuffer(b"".join(map(starts_of.__getitem__, words)), "<i4")
+                    # The rule `start` needs no ends.
+                    ends = starts if rule == "start" else base + np.frombuffer(b"".join(map(ends_of.__getitem__, words)), "<i4")
                     counts = np.bincount(allocate(starts, ends, cuts, rule), minlength=len(cuts))
                     to = np.append(cuts[1:], len(text))
                     out.append(pa.record_batch([pa.array([doc] * len(cuts), pa.int64()), pa.array(np.arange(len(cuts)), pa.int32()), pa.array(cuts), pa.array(to), pa.array(counts)], ["doc_id", "section", "start", "end", "n_tokens"]))
                 if out:
                     yield pa.Table.from_batches(out).combine_chunks().to_batches()[0]
+                if len(number) > remember:
+                    for w in new:
+                        del number[w], starts_of[w], ends_of[w]
 
     return run
 
