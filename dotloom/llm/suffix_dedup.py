@@ -240,11 +240,11 @@ def _windows(pairs: np.ndarray) -> np.ndarray:
 
 
 def _send_windows(length: int, buckets: int):
-    """The windows to refine, by the identifier of their bytes; kind 0: (text key, place), kind 2: repeats on the spot."""
+    """The windows to refine, by the identifier of their bytes; kind 0: (place, base, text key), kind 2: repeats on the spot."""
 
     def run(batches):
         src = source_number()
-        table: list[tuple[int, int]] = []
+        table: list[tuple[int, int, int]] = []
         held: list[tuple[np.ndarray, np.ndarray]] = []
         place = size = 0
 
@@ -255,8 +255,7 @@ def _send_windows(length: int, buckets: int):
             new = np.r_[True, name[1:] != name[:-1]][: len(name)]
             group = np.cumsum(new) - 1
             many = (np.bincount(group, minlength=1) > 1)[group] if len(group) else new
-            keys, starts = zip(*table, strict=True)
-            out = [(src % buckets, src, 0, np.array(starts, "<i8").tobytes() + np.array(keys, "<i8").tobytes())]
+            out = [(src % buckets, src, 0, b"".join(np.array(c, "<i8").tobytes() for c in zip(*table, strict=True)))]
             if many.any():
                 out.append((src % buckets, src, 2, spot[many].astype("<u4").tobytes()))
             pid = (name[new] >> np.uint64(20)).astype(np.int64) % buckets
@@ -274,7 +273,7 @@ def _send_windows(length: int, buckets: int):
                         w = w[(w >= base) & (w < base + min(_PIECE, max(0, e - s - length + 1)))] - base
                         if len(w):
                             held.append((range_hash(prefix, s + w, s + w + length), place + w))
-                            table.append((keys[at + r], place - base))
+                            table.append((place, base, keys[at + r]))
                             place += int(w[-1]) + 1
                             size += len(w)
                     if size > 400_000 or place > 1 << 30:
@@ -319,19 +318,18 @@ def _window_marks(batches):
         table, spots = None, []
         for kind, data in zip(part.column("kind").to_pylist(), part.column("data").to_pylist(), strict=True):
             if kind == 0:
-                table = taken(data, ["<i8", "<i8"])
+                table = taken(data, ["<i8", "<i8", "<i8"])
             else:
                 spots.append(np.frombuffer(data, "<u4"))
         if not spots:
             continue
-        start, key = table
+        # Places rise from piece to piece; less its base they would not, so the base counts only in the subtraction.
+        place, base, key = table
         spot = np.unique(np.concatenate(spots)).astype(np.int64)
-        # A text's places start where its first window may be, so `start` can lie before its neighbour's end.
-        low = np.maximum.accumulate(start)
-        row = np.searchsorted(low, spot, side="right") - 1
+        row = np.searchsorted(place, spot, side="right") - 1
         cuts = np.flatnonzero(np.r_[True, row[1:] != row[:-1], True])
         yield pa.record_batch(
-            [pa.array([int(key[row[a]]) for a in cuts[:-1]], pa.int64()), pa.array([(spot[a:b] - start[row[a]]).astype("<i8").tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())],
+            [pa.array([int(key[row[a]]) for a in cuts[:-1]], pa.int64()), pa.array([(spot[a:b] - place[row[a]] + base[row[a]]).astype("<i8").tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())],
             ["tkey", "windows"],
         )
 

@@ -153,6 +153,35 @@ def test_suffix_splits_long_texts(spark, monkeypatch):
     assert int((whole[1] + 1).sum()) == 2500 - 199
 
 
+def test_suffix_of_texts_in_several_pieces(spark):
+    rng = np.random.default_rng(4)
+    letters = np.frombuffer(b"abcdefghijklmnop", np.uint8)
+    size = suffix_dedup._PIECE + 500_000
+
+    def split_between_runs(text):
+        """Without some first bytes, so that a new run starts with the second piece and no window there is refined."""
+        near = text[suffix_dedup._PIECE - 1000 :][:3000]
+        first = suffix_dedup.sampled_runs(np.array([0, len(near)]), near, 200)[0]
+        return text[int(first[first >= 1000][0]) - 1000 :][:size].copy()
+
+    short = letters[rng.integers(0, 16, 5_000)]
+    long_text, late = (split_between_runs(letters[rng.integers(0, 16, size + 1000)]) for _ in range(2))
+    passages = [letters[rng.integers(0, 16, 230)] for _ in range(4)]
+    # Repeats in the short text, in the first piece, in the second, and from one to the other; only in the second of `late`.
+    places = [(short, 0, (700, 3_000)), (long_text, 1, (1_000, 2_000_000)), (long_text, 2, (size - 400_000, size - 1_000)), (long_text, 3, (50_000, size - 90_000)), (late, 3, (size - 70_000,))]
+    gone = {id(t): np.zeros(len(t), bool) for t in (short, long_text, late)}
+    edges = iter(range(65, 91))
+    for text, k, starts in places:
+        for at in starts:
+            text[at : at + 230] = passages[k]
+            text[at - 1], text[at + 230] = next(edges), next(edges)  # no repeat is longer by chance
+            gone[id(text)][at : at + 230] = True
+    texts = [short, long_text, late]
+    docs = spark.createDataFrame([(i, t.tobytes().decode()) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    truth = [(i, len(t), int(gone[id(t)].sum()), int(gone[id(t)].sum()) // 230, hashlib.sha256(t[~gone[id(t)]].tobytes()).hexdigest()) for i, t in enumerate(texts)]
+    same(suffix_dedup.repeated_bytes(docs), truth)
+
+
 # -- Jaccard join
 
 
