@@ -199,7 +199,7 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, size: int = 5):
         weight = 1
         for k in range(size):
             weight = weight * 0xD1342543DE82EF95 % (1 << 64)
-            acc[: len(word) - k] += word[k:] * np.uint64(weight)
+            acc[: max(0, len(word) - k)] += word[k:] * np.uint64(weight)
         pieces, owners = [mix(acc[full])], [row[full]]
         for r in np.flatnonzero((counts > 0) & (counts < size)):
             w, s = word[first[r] : first[r + 1]], np.uint64(len(word[first[r] : first[r + 1]]))

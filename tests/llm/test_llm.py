@@ -240,6 +240,18 @@ def test_near(spark, odd, empty, documents, monkeypatch):
     assert {r.doc_id for r in kept.collect()} >= {0, 1, 2, 3, 17, 18, None}
 
 
+def test_few_words_alone(spark):
+    for n in range(7):
+        text = " ".join("abcdefg"[:n])
+        data = np.frombuffer(text.encode(), np.uint8)
+        offs, hashes = common.shingle_sets(data, np.array([0, len(data)]))
+        truth = [len(s) for s in brute_sets([(0, text)])]
+        assert np.diff(offs).tolist() == truth and len(hashes) == truth[0]
+    for n in (1, 2, 3, 4):
+        one = spark.createDataFrame([(7, " ".join("abcd"[:n]))], "doc_id long, text string")
+        same(jaccard.near_duplicates(one), [(7, 1, 7)])
+
+
 def test_components(spark):
     rng = random.Random(2)
     links = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5, 5), (None, 3)]
