@@ -375,6 +375,59 @@ def test_licenses(spark, odd, empty, documents):
     assert licenses.scan_licenses(empty).isEmpty()
 
 
+def test_license_passages(spark, odd, empty):
+    full, header = dict(licenses.full_texts()), dict(licenses.HEADERS)
+    wrapped = "\n".join("# " + " ".join(header["Apache-2.0"].split()[i : i + 9]) for i in range(0, 80, 9))
+    said = [
+        ("import os\n" + wrapped + "\nprint(1)", "Apache-2.0", 1),
+        ('# Licensed under the Apache License, Version 2.0 (the "License");', "Apache-2.0", 1),
+        ("MIT License\n\nCopyright (c) 2024 Foo\n\n" + full["MIT"] + "\nand then some prose", "MIT", 1),
+        (" ".join(full["MIT"].split("\n\n")[0].split()), "MIT", 1),
+        ("Copyright (c) 2024 Foo Inc. All rights reserved.", "proprietary", 1),
+        ("This code is free. Licensed under the MIT License. See LICENSE.", "MIT", 1),
+        ("It says: this work is licensed under the GNU General Public License, version 3, as all know.", "GPL-3.0", 1),
+        ("x " * 500 + full["GPL-3.0"] + "y " * 500, "GPL-3.0", 1),
+        ("licensed under the mit license " * 50, "MIT", 50),
+        ("licensed under\n the plain licence of no one", None, 0),
+        ("Licensed under the MIT", None, 0),
+        ("License.", None, 0),
+    ]
+    df = spark.createDataFrame([(i, x[0]) for i, x in enumerate(said)], "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r for r in licenses.scan_passages(df).collect()}
+    assert [(got[i].best_license, got[i].n_matches) for i in range(len(said))] == [x[1:] for x in said]
+    for i, (_, name, _) in enumerate(said):
+        assert set(filter(None, got[i].licenses.split(","))) == ({name} if name else set())
+    assert licenses.scan_passages(odd).count() == odd.count() and licenses.scan_passages(empty).isEmpty()
+
+
+def test_license_windows_by_brute_force():
+    rng = random.Random(6)
+    small = [("A", "one two three 2.0 four"), ("B", "one two three 2.0 five six seven eight nine ten eleven twelve"), ("C", "v1.2b three")]
+    words = sorted({w for _, t in small for w in t.split()}) + ["x", ".5", "2", "Ünï", "a.1.2c"]
+    texts = []
+    for _ in range(300):
+        parts = [rng.choice([t for _, t in small] + [rng.choice(words)] * 4) for _ in range(rng.randrange(12))]
+        texts.append(rng.choice([" ", "\n", " # "]).join(parts).replace(rng.choice(words), rng.choice(words)))
+    raw = [t.encode() for t in texts]
+    offs = np.cumsum([0, *map(len, raw)])
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    start, end, row = licenses._tokens(offs, licenses.LOWER[data])
+    got = licenses.Passages(small, 0.9).find(offs, data)
+    for i, text in enumerate(raw):
+        spans = [m.span() for m in licenses._WORD.finditer(text.lower())]
+        assert [(int(a - offs[i]), int(b - offs[i])) for a, b in zip(start[row == i], end[row == i], strict=True)] == spans
+        truth = []
+        for name, template in small:
+            grams, n = licenses.bigrams(template.encode()), len(licenses._WORD.findall(template.encode()))
+            windows = [(-licenses.dice(licenses.bigrams(text[spans[k][0] : spans[k + n - 1][1]]), grams), k) for k in range(len(spans) - n + 1)]
+            taken = []
+            for d, k in sorted(w for w in windows if -w[0] >= 0.9):
+                if all(abs(k - x) >= n for x in taken):
+                    taken.append(k)
+                    truth.append((-d, name, int(offs[i]) + spans[k][0], int(offs[i]) + spans[k + n - 1][1]))
+        assert sorted(got.get(i, [])) == sorted(truth)
+
+
 # -- tokens
 
 
