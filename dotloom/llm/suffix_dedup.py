@@ -1,4 +1,4 @@
-"""Repeated-substring removal by bucket-pointer refinement of sampled suffixes.
+"""Repeated-substring removal by winnowed suffixes and window fingerprints.
 
 A byte goes if a string of ``length`` bytes that covers it also starts anywhere else. Suffixes are
 sorted only as far as ``length`` bytes, and only where a repeat can be:
@@ -9,8 +9,8 @@ sorted only as far as ``length`` bytes, and only where a repeat can be:
 2. First refinement. Each bucket is sorted by the identifier of what stands around its suffixes, up
    to the ends of the windows that they stand for. Suffixes that agree in it are repeats with all
    their windows; a bucket of one is none.
-3. Recursive refinement. Suffixes left over, beside ones that differ somewhere in their windows, are
-   sorted again, window by window, by identifiers of the bytes at later offsets; of suffixes that
+3. Window fingerprints. Suffixes left over, beside ones that differ somewhere in their windows, are
+   grouped once more, window by window, by hashes of each window's bytes; of suffixes that
    agreed, one speaks for all. What step 2 found out is used here and not worked out again.
 
 Texts whose every byte is the same in two rows are found by counting and lose everything at once,
