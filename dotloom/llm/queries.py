@@ -48,7 +48,8 @@ def op9_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.section_token_counts(table(spark, sf_dir, "documents"))
+    """Lines, and runs of 512 characters, which cut tokens: those go where most of their characters are."""
+    return tokens.section_token_counts(table(spark, sf_dir, "documents"), rule="most", kinds=(("line", None), ("run", 512)))
 
 
 def queries() -> dict:

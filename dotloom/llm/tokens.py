@@ -1,18 +1,19 @@
 """BPE encoding and decoding through a minimal acyclic transducer lexicon, and token counts.
 
 The vocabulary is a lower-casing word BPE in the format of the ``tokenizers`` library (its path is
-a parameter). Its pieces never span white space, so a text is encoded word by word, a word being a
-run without white space.
+a parameter). Its pre-tokens never span white space; whole views of texts are cut into them by vector
+steps (``words.py``), and each distinct one is resolved once.
 
 * Frequent words are found by mergeable heavy-hitter summaries over all documents, each of bounded
   size, and compiled into the smallest acyclic automaton that shares suffixes. Every edge carries
   the number of words before it, so the path of a word sums to the word's number, which points at
   its ids. The arrays are one file, published to all executors and memory-mapped there.
-* A batch looks all its distinct words up at once (one vector step a byte). Words that the
-  automaton doesn't hold are merged exactly by the vocabulary's merge table.
+* A batch looks all its new units up at once (one vector step a byte). Those that the automaton
+  doesn't hold are merged exactly by the vocabulary's merge table. A worker remembers a bounded number
+  of units from batch to batch and task to task; that never changes a result.
 
 Defined results: null is the empty text, which has no tokens; special tokens' strings in a text
-are those tokens, as in the library; repeated rows get a row each.
+are those tokens, as in the library; repeated rows get a row each; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import struct
 import unicodedata
 import zlib
 from collections import Counter
@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import text_of, tidy, work_dir
+from .words import WordTable, gather, unit_views
 
 
 def default_vocabulary() -> str:
@@ -53,8 +54,6 @@ _BYTE_LETTERS = _byte_letters()
 
 # -- the vocabulary and its words ---------------------------------------------------------------
 
-#: White space by Unicode; str.split() also parts at \x1c-\x1f, which are letters of a word here.
-_WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 #: The vocabulary's own pattern of pre-tokens.
 _PRE_TOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{L}\p{N}]+")  # words hold no white space
 
@@ -68,42 +67,17 @@ class Vocabulary:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-        self._special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         size = max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1
         self.strings = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
         self.bytes_of = [len(x.removesuffix("</w>")) for x in self.strings]
 
-    def normal(self, text: str) -> str:
-        """The text, or its lower case if that is Latin-1, where both have the same words, places and ids."""
-        if not text.isascii():
-            try:
-                text.encode("latin-1")
-            except UnicodeEncodeError:
-                return text
-        return text.lower()
-
-    def words(self, text: str) -> list[str]:
-        """The words of a text in order: runs without white space; special tokens are words of their own."""
-        if self._special and "<|" in text:
-            out: list[str] = []
-            for part in self._special.split(text):
-                out += [part] if part in self.special else self._plain(part)
-            return out
-        return self._plain(text)
-
-    def _plain(self, text: str) -> list[str]:
-        text = self.normal(text)
-        if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
-            return [w for w in _WHITE.split(text) if w]
-        return text.split()
-
     def pieces(self, word: str) -> list[str] | None:
         """The pre-tokens of a word below U+0250, in normal form; None: leave it to the library.
 
-        Above, letters and their classes may differ between Unicode versions.
+        Above, letters and their classes may differ between Unicode versions. Words that may hold a
+        special token or white space beyond ASCII are the library's, too.
         """
-        if not word.isascii() and max(word) >= "\u0250" or word in self.special:
+        if "<|" in word or not word.isascii() and (max(word) >= "\u0250" or "\x85" in word or "\xa0" in word):
             return None
         if word.isascii() or max(word) < "\u0100":
             word = word.lower()
@@ -316,17 +290,29 @@ def _frequent(path: str, keep: int, prune_at: int):
 
     def run(batches):
         vocab = vocabulary(path)
-        seen: Counter[str] = Counter()
+        seen: Counter[bytes] = Counter()
+        table, counts = WordTable(lambda units: (), (), prune_at), np.zeros(0, np.int64)
+
+        def fold():
+            seen.update({w: n for w, n in zip(table.words(), counts.tolist(), strict=False) if n})
+
         for batch in batches:
-            for text in text_of(batch.column(0)).to_pylist():
-                seen.update(vocab.words(text))
-                low = 1
-                while len(seen) > prune_at:
-                    seen = Counter({w: n for w, n in seen.items() if n > low})
-                    low *= 2
+            for _, _, data, start, end, _ in unit_views(text_of(batch.column(0))):
+                number = table.numbers(data, start, end)
+                more = np.bincount(number, minlength=len(counts))
+                more[: len(counts)] += counts
+                counts = more
+                if len(table) > prune_at:
+                    fold()
+                    table, counts = WordTable(lambda units: (), (), prune_at), np.zeros(0, np.int64)
+                    low = 1
+                    while len(seen) > prune_at:
+                        seen = Counter({w: n for w, n in seen.items() if n > low})
+                        low *= 2
+        fold()
         pieces: Counter[str] = Counter()
         for w, n in seen.items():
-            for piece in vocab.pieces(w) or ():
+            for piece in vocab.pieces(w.decode("utf-8", "replace")) or ():
                 pieces[piece] += n
         top = [(w, n) for w, n in pieces.most_common(keep) if n > 1 and len(w) <= 64]
         yield pa.record_batch([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["word", "n"])
@@ -361,79 +347,90 @@ def _compile(spark: SparkSession, path: str, words: list[str]) -> str:
 # -- encoding -----------------------------------------------------------------------------------
 
 
-class Encoder:
-    """Encodes batches of texts; each of ``products`` makes of a word's ids what is wanted for it.
+class Encoder(WordTable):
+    """The ids of units: from the lexicon's automaton, else by merging."""
 
-    The first ``remember`` words stay in memory with their products; later ones last for a batch.
-    """
-
-    def __init__(self, vocabulary_path: str, lexicon_name: str, products: tuple, remember: int = 250_000):
+    def __init__(self, vocabulary_path: str, lexicon_name: str, remember: int = 400_000):
         self.vocab = vocabulary(vocabulary_path)
         self.lexicon = lexicon(lexicon_name)
-        self.made: tuple[dict, ...] = tuple({} for _ in products)
-        self._products, self._remember = products, remember
-        self._pieces: dict[str, list[int]] = {}
+        super().__init__(lambda units: [self.ids(units)], ("<u4",), remember)
 
-    def _resolve(self, pieces: list[str]) -> None:
-        """Ids of pre-tokens: from the lexicon, else by merging."""
+    def _of_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         number = self.lexicon.find([p.encode() for p in pieces])
-        starts, ids, held, merge = self.lexicon.starts, self.lexicon.ids, self._pieces, self.vocab.merge
-        known = np.flatnonzero(number >= 0)
-        for i, a, b in zip(known.tolist(), starts[number[known]].tolist(), starts[number[known] + 1].tolist(), strict=True):
-            held[pieces[i]] = ids[a:b].tolist()
-        for i in np.flatnonzero(number < 0).tolist():
-            held[pieces[i]] = merge(pieces[i])
-
-    def ids(self, words: list[str]) -> list[list[int]]:
-        split = list(map(self.vocab.pieces, words))
-        held = self._pieces
-        if len(held) > self._remember:
-            held.clear()
-        self._resolve(list({p for pieces in split if pieces for p in pieces if p not in held}))
-        hard = [i for i, pieces in enumerate(split) if pieces is None]
-        out = [held[p[0]] if p is not None and len(p) == 1 else [x for y in p or () for x in held[y]] for p in split]
-        for i, ids in zip(hard, self.vocab.library_ids([words[i] for i in hard]), strict=True):
-            out[i] = ids
-        return out
-
-    def batches(self, text: pa.Array, max_chars: int = 1 << 21):
-        """Yield (first row, words by row); meanwhile ``made`` has the products of all those words."""
-        texts = text.to_pylist()
-        row = 0
-        while row < len(texts):
-            rows: list[list[str]] = []
-            first, size = row, 0
-            while row < len(texts) and (not rows or size + len(texts[row]) <= max_chars):
-                size += len(texts[row])
-                rows.append(self.vocab.words(texts[row]))
-                row += 1
-            distinct: set[str] = set()
-            for words in rows:
-                distinct.update(words)
-            new = list(distinct.difference(self.made[0]))
-            ids = self.ids(new)
-            for made, product in zip(self.made, self._products, strict=True):
-                made.update(zip(new, map(product, ids), strict=True))
-            yield first, rows
-            if len(self.made[0]) > self._remember:
-                for made in self.made:
-                    for w in new:
-                        del made[w]
+        unseen = np.flatnonzero(number < 0)
+        merged = [self.vocab.merge(pieces[i]) for i in unseen.tolist()]
+        starts = self.lexicon.starts.astype(np.int64)
+        count = np.where(number < 0, 0, starts[number + 1] - starts[number])
+        count[unseen] = np.fromiter(map(len, merged), np.int64, len(merged))
+        known = number >= 0
+        values = np.empty(int(count.sum()), "<u4")
+        own = np.repeat(known, count)
+        values[own] = gather(self.lexicon.ids, starts, number[known])[0]
+        values[~own] = np.fromiter((x for ids in merged for x in ids), "<u4", int(count[unseen].sum()))
+        return values, count
+
+    def ids(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All units' ids end to end, and how many each has."""
+        split = list(map(self.vocab.pieces, units))
+        hard = [i for i, p in enumerate(split) if p is None]
+        whole = self.vocab.library_ids([units[i] for i in hard])
+        place: dict[str, int] = {}
+        parts = [place.setdefault(y, len(place)) for p in split if p is not None for y in p]
+        values, count = self._of_pieces(list(place))
+        # A hard unit counts as a piece of its own behind all others.
+        edge = np.r_[0, np.cumsum(count), len(values) + np.cumsum(list(map(len, whole)))].astype(np.int64)
+        values = np.concatenate([values, np.fromiter((x for ids in whole for x in ids), "<u4")])
+        n = np.fromiter((1 if p is None else len(p) for p in split), np.int64, len(split))
+        of_hard = np.zeros(len(units), bool)
+        of_hard[hard] = True
+        number = np.empty(int(n.sum()), np.int64)
+        own = np.repeat(of_hard, n)
+        number[own] = len(place) + np.arange(len(hard))
+        number[~own] = parts
+        flat, at = gather(values, edge, number)
+        return flat, np.diff(at[np.r_[0, np.cumsum(n)]])
+
+    def views(self, text: pa.Array):
+        """(first row, ids of the view, where each row's start and the last's end) for views of a text column."""
+        for first, _, data, start, end, edge in unit_views(text):
+            ids, at = self.gather(0, self.numbers(data, start, end))
+            yield first, ids, at[edge]
+
+
+_ENCODERS: dict[tuple[str, str], Encoder] = {}
+
+
+def encoder(path: str, name: str) -> Encoder:
+    """One for each worker process, which keeps the words that it has met from task to task."""
+    if (path, name) not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path, name] = Encoder(path, name)
+    return _ENCODERS[path, name]
+
+
+def _row_digests(data: np.ndarray, cuts: np.ndarray) -> list[str]:
+    """SHA-256 of data[cuts[i]:cuts[i + 1]] without its last byte."""
+    view = memoryview(data)
+    return [hashlib.sha256(view[a : max(a, b - 1)]).hexdigest() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+
+
+def _spelt(parts) -> tuple[np.ndarray, np.ndarray]:
+    """Each part's bytes and a space, end to end, and where they start and the last ends."""
+    raw = [f"{p} ".encode() for p in parts]
+    return np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum(list(map(len, raw)))].astype(np.int64)
 
 
 def _coded(path: str, name: str):
     def run(batches):
-        strings = vocabulary(path).strings
-        encoder = Encoder(path, name, (len, lambda ids: " ".join(map(str, ids)), lambda ids: " ".join([strings[i] for i in ids])))
-        number, listed, decoded = encoder.made
+        coder, strings = encoder(path, name), vocabulary(path).strings
+        spellings = _spelt(range(len(strings))), _spelt(strings)
         for batch in batches:
-            counts, ids_sha, text_sha = [], [], []
-            for _, rows in encoder.batches(text_of(batch.column(1))):
-                for words in rows:
-                    counts.append(sum(map(number.__getitem__, words)))
-                    ids_sha.append(hashlib.sha256(" ".join(map(listed.__getitem__, words)).encode()).hexdigest())
-                    text_sha.append(hashlib.sha256(" ".join(map(decoded.__getitem__, words)).encode()).hexdigest())
-            yield pa.record_batch([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            for first, ids, edge in coder.views(text_of(batch.column(1))):
+                columns = [batch.column(0).slice(first, len(edge) - 1), pa.array(np.diff(edge))]
+                for flat, cuts in spellings:
+                    data, at = gather(flat, cuts, ids.astype(np.int64))
+                    columns.append(pa.array(_row_digests(data, at[edge]), pa.string()))
+                yield pa.record_batch(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
 
@@ -448,12 +445,10 @@ def token_digests(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
 
 def _encoded(path: str, name: str):
     def run(batches):
-        encoder = Encoder(path, name, (list,))
-        (ids,) = encoder.made
         for batch in batches:
-            for first, rows in encoder.batches(text_of(batch.column(1))):
-                out = [[i for w in words for i in ids[w]] for words in rows]
-                yield pa.record_batch([batch.column(0).slice(first, len(rows)), pa.array(out, pa.list_(pa.int32()))], ["doc_id", "ids"])
+            for first, ids, edge in encoder(path, name).views(text_of(batch.column(1))):
+                lists = pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(ids.astype(np.int32)))
+                yield pa.record_batch([batch.column(0).slice(first, len(edge) - 1), lists], ["doc_id", "ids"])
 
     return run
 
@@ -491,24 +486,35 @@ def _pieces(path: str, name: str, capacity: int, end_id: int):
     def run(batches):
         from pyspark import TaskContext
 
-        encoder = Encoder(path, name, (lambda ids: struct.pack(f"<{len(ids)}I", *ids),))
-        (raw,) = encoder.made
-        chunk = TaskContext.get().partitionId()
-        used: Counter[int] = Counter()
-        end = np.array([end_id], "<u4").tobytes()
+        coder, chunk = encoder(path, name), TaskContext.get().partitionId()
+        used = np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            for first, rows in encoder.batches(text_of(batch.column(1))):
-                docs = batch.column(0).slice(first, len(rows)).to_pylist()
-                out: list[tuple] = []
-                for doc, words in zip(docs, rows, strict=True):
-                    whole = b"".join(map(raw.__getitem__, words)) + end
-                    n = len(whole) // 4
-                    for piece, start in enumerate(range(0, n, capacity)):
-                        length = min(capacity, n - start)
-                        out.append((doc, piece, start, length, zlib.crc32(whole[4 * start : 4 * (start + length)]), chunk, used[length]))
-                        used[length] += 1
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "chunk", "nth"])
+            for first, ids, edge in coder.views(text_of(batch.column(1))):
+                ends = edge[1:] + np.arange(len(edge) - 1)  # places of the end ids
+                whole = np.full(len(ids) + len(ends), end_id, "<u4")
+                inner = np.ones(len(whole), bool)
+                inner[ends] = False
+                whole[inner] = ids
+                begin = np.r_[0, ends[:-1] + 1]
+                n = ends + 1 - begin
+                parts = -(-n // capacity)
+                row = np.repeat(np.arange(len(n)), parts)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
+                start = piece * capacity
+                length = np.minimum(capacity, n[row] - start)
+                view = memoryview(whole).cast("B")
+                crc = [zlib.crc32(view[a:b]) for a, b in zip((4 * (begin[row] + start)).tolist(), (4 * (begin[row] + start + length)).tolist(), strict=True)]
+                order = np.argsort(length, kind="stable")
+                run_of = length[order]
+                new = np.flatnonzero(np.r_[True, run_of[1:] != run_of[:-1]])
+                nth = np.empty(len(row), np.int64)
+                nth[order] = np.arange(len(row)) - np.repeat(new, np.diff(np.r_[new, len(row)])) + used[run_of]
+                used += np.bincount(length, minlength=capacity + 1)
+                docs = batch.column(0).slice(first, len(n)).take(pa.array(row))
+                yield pa.record_batch(
+                    [docs, pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(np.full(len(row), chunk)), pa.array(nth)],
+                    ["doc_id", "piece", "start", "length", "ids_crc32", "chunk", "nth"],
+                )
 
     return run
 
@@ -539,83 +545,93 @@ def allocate(starts: np.ndarray, ends: np.ndarray, cuts: np.ndarray, rule: str)
     if rule == "end":
         return last
     out = first.copy()
-    for i in np.flatnonzero(first != last):
-        edges = [starts[i], *cuts[first[i] + 1 : last[i] + 1], ends[i]]
-        out[i] = first[i] + int(np.argmax(np.diff(edges)))
+    across = np.flatnonzero(first != last)
+    if len(across):  # all parts of these tokens, and the longest, earliest part of each
+        parts = last[across] - first[across] + 1
+        at = np.cumsum(parts) - parts
+        section = np.repeat(first[across] - at, parts) + np.arange(parts.sum())
+        low = np.maximum(np.repeat(starts[across], parts), cuts[section])
+        high = np.minimum(np.repeat(ends[across], parts), np.append(cuts[1:], np.iinfo(np.int64).max)[section])
+        order = np.lexsort((section, low - high, np.repeat(np.arange(len(across)), parts)))
+        out[across] = section[order[at]]
     return out
 
 
-def _section_counts(path: str, rule: str, section_chars: int | None, remember: int = 150_000):
-    """The first ``remember`` words stay in memory with their spans; later ones last for a batch."""
+def _section_starts(data: np.ndarray, offs: np.ndarray, letter: np.ndarray, section_chars: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """(row, first character in the view) of each section; ``letter`` has the characters before each byte."""
+    rows = np.arange(len(offs) - 1)
+    base = letter[offs]
+    if section_chars:
+        n = np.maximum(1, -(-np.diff(base) // section_chars))
+        row = np.repeat(rows, n)
+        return row, base[row] + (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)) * section_chars
+    after = np.flatnonzero(data == 10) + 1
+    row = np.searchsorted(offs, after - 1, side="right") - 1
+    inside = after < offs[row + 1]  # a line feed at the end starts no line
+    row, at = np.concatenate([rows, row[inside]]), np.concatenate([base[:-1], letter[after[inside]]])
+    order = np.lexsort((at, row))
+    return row[order], at[order]
 
-    def run(batches):
+
+_SPANS: dict[str, WordTable] = {}
+
+
+def _span_table(path: str, remember: int = 300_000) -> WordTable:
+    """Units with their tokens' first and last characters; one for each worker process."""
+    if path not in _SPANS:
         vocab = vocabulary(path)
-        number: dict[str, int] = {}
-        starts_of: dict[str, bytes] = {}
-        ends_of: dict[str, bytes] = {}
-        for batch in batches:
-            docs = batch.column(0).to_pylist()
-            texts = text_of(batch.column(1)).to_pylist()
-            row = 0
-            while row < len(texts):
-                rows, first, size = [], row, 0
-                while row < len(texts) and (not rows or size + len(texts[row]) <= 1 << 21):
-                    size += len(texts[row])
-                    rows.append(vocab.words(texts[row]))
-                    row += 1
-                distinct: set[str] = set()
-                for words in rows:
-                    distinct.update(words)
-                new = list(distinct.difference(number))
-                for w, (a, b) in zip(new, vocab.spans(new), strict=True):
-                    number[w] = len(a)
-                    starts_of[w] = struct.pack(f"<{len(a)}i", *a)
-                    ends_of[w] = struct.pack(f"<{len(b)}i", *b)
-                out: list[pa.RecordBatch] = []
-                for doc, words, text in zip(docs[first:row], rows, texts[first:row], strict=True):
-                    cuts = _cuts(text, section_chars)
-                    at, where = [], 0
-                    low = vocab.normal(text)
-                    for w in words:  # each word stands after the one before it
-                        where = (low if w not in vocab.special else text).index(w, where)
-                        at.append(where)
-                        where += len(w)
-                    base = np.repeat(np.array(at, np.int64), np.fromiter(map(number.__getitem__, words), np.int64, len(words)))
-                    starts = base + np.frombuffer(b"".join(map(starts_of.__getitem__, words)), "<i4")
-                    # The rule `start` needs no ends.
-                    ends = starts if rule == "start" else base + np.frombuffer(b"".join(map(ends_of.__getitem__, words)), "<i4")
-                    counts = np.bincount(allocate(starts, ends, cuts, rule), minlength=len(cuts))
-                    to = np.append(cuts[1:], len(text))
-                    out.append(pa.record_batch([pa.array([doc] * len(cuts), pa.int64()), pa.array(np.arange(len(cuts)), pa.int32()), pa.array(cuts), pa.array(to), pa.array(counts)], ["doc_id", "section", "start", "end", "n_tokens"]))
-                if out:
-                    yield pa.Table.from_batches(out).combine_chunks().to_batches()[0]
-                if len(number) > remember:
-                    for w in new:
-                        del number[w], starts_of[w], ends_of[w]
 
-    return run
+        def resolve(units):
+            spans = vocab.spans(units)
+            count = np.fromiter((len(a) for a, _ in spans), np.int64, len(spans))
+            return [(np.fromiter((i for x in spans for i in x[side]), "<i4", int(count.sum())), count) for side in (0, 1)]
 
+        _SPANS[path] = WordTable(resolve, ("<i4", "<i4"), remember)
+    return _SPANS[path]
 
-def _cuts(text: str, section_chars: int | None) -> np.ndarray:
-    """Where sections start: lines (each with its line feed), or fixed runs of characters."""
-    if section_chars:
-        return np.arange(0, max(1, len(text)), section_chars, dtype=np.int64)
-    cuts = [0]
-    at = text.find("\n")
-    while 0 <= at < len(text) - 1:
-        cuts.append(at + 1)
-        at = text.find("\n", at + 1)
-    return np.array(cuts, np.int64)
+
+def _section_counts(path: str, rule: str, kinds: tuple):
+    def run(batches):
+        table = _span_table(path)
+        for batch in batches:
+            for first, offs, data, start, end, edge in unit_views(text_of(batch.column(1))):
+                number = table.numbers(data, start, end)
+                letter = np.zeros(len(data) + 1, np.int64)
+                np.cumsum((data & 0xC0) != 0x80, out=letter[1:])
+                starts, at = table.gather(0, number)
+                base = np.repeat(letter[start], np.diff(at))
+                starts = base + starts
+                # The rule `start` needs no ends.
+                ends = starts if rule == "start" else base + table.gather(1, number)[0]
+                for name, section_chars in kinds:
+                    row, cuts = _section_starts(data, offs, letter, section_chars)
+                    # A row without letters has a section, empty, that starts where the next row's first does: only that has tokens.
+                    live = letter[offs[1:]][row] > letter[offs[:-1]][row]
+                    counts = np.zeros(len(cuts), np.int64)
+                    if live.any():
+                        counts[live] = np.bincount(allocate(starts, ends, cuts[live], rule), minlength=int(live.sum()))
+                    own = letter[offs[row]]
+                    to = np.append(cuts[1:], letter[-1])
+                    section = np.arange(len(row)) - np.searchsorted(row, row)
+                    docs = batch.column(0).slice(first, len(offs) - 1).take(pa.array(row))
+                    columns = [docs, pa.array([name] * len(row), pa.string()), pa.array(section.astype(np.int32)), pa.array(cuts - own), pa.array(to - own), pa.array(counts)]
+                    yield pa.record_batch(columns, ["doc_id", "kind", "section", "start", "end", "n_tokens"])
+
+    return run
 
 
-def section_token_counts(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", vocabulary_path: str | None = None, rule: str = "start", section_chars: int | None = None) -> DataFrame:
-    """doc_id, section, start, end, n_tokens: each text is encoded once, whole, with character offsets.
+def section_token_counts(
+    docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", vocabulary_path: str | None = None, rule: str = "start", section_chars: int | None = None, kinds: tuple | None = None
+) -> DataFrame:
+    """doc_id, kind, section, start, end, n_tokens: each text is encoded once, whole, with character offsets.
 
-    Sections are lines, or runs of ``section_chars`` characters; the empty text has one, empty.
-    Counts of a document's sections add up to its tokens, whatever the ``rule`` (see allocate()).
+    Sections are lines (kind ``line``), or runs of ``section_chars`` characters (``run``); ``kinds``, pairs of
+    a name and None or a number of characters, asks for several at once. The empty text has one section, empty.
+    Counts of a kind's sections add up to the document's tokens, whatever the ``rule`` (see allocate()).
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
+    kinds = kinds or ((("run", section_chars),) if section_chars else (("line", None),))
     path = vocabulary_path or default_vocabulary()
     pair = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return pair.mapInArrow(tidy(_section_counts(path, rule, section_chars)), "doc_id long, section int, start long, `end` long, n_tokens long")
+    return pair.mapInArrow(tidy(_section_counts(path, rule, kinds)), "doc_id long, kind string, section int, start long, `end` long, n_tokens long")

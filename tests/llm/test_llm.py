@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from dotloom.llm import common, components, exact_dedup, jaccard, licenses, packing, suffix_dedup, tokens, topk, toxicity, url_filter
+from dotloom.llm import common, components, exact_dedup, jaccard, licenses, packing, suffix_dedup, tokens, topk, toxicity, url_filter, words
 
 SF = "/root/testdata/sf0.001"
 #: Columns that clash with names that the operators use inside.
@@ -457,15 +457,44 @@ def test_encode_and_decode(spark, odd, empty, documents, library):
     assert back == {d: library.decode(i, skip_special_tokens=False) for (d, _), i in ids.items() if d is not None and d >= 800}
 
 
+def test_units_are_the_librarys(library):
+    rng = random.Random(12)
+    letters = "aSétÀ×÷ª½²1 '\n\t.,!<|>ll're'Ve\xa0\x85İΣ日\u0301K\x1c"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(30))) for _ in range(3000)] + ["'s", "x'", "s", "'", "l'l", "'ll", "'l", ""]
+    raw = [t.encode() for t in texts]
+    offs = np.cumsum([0, *map(len, raw)])
+    coder = tokens.vocabulary(tokens.default_vocabulary())
+    low, start, end, row = words.units_in(offs, np.frombuffer(b"".join(raw), np.uint8))
+    table = words.WordTable(lambda units: [(np.concatenate([np.array(e.ids, "<u4") for e in coder.tokenizer.encode_batch(units, add_special_tokens=False)]), [len(e.ids) for e in coder.tokenizer.encode_batch(units, add_special_tokens=False)])], ("<u4",), 50)
+    for part in (slice(0, len(start) // 2), slice(len(start) // 2, None)):
+        ids, at = table.gather(0, table.numbers(low, start[part], end[part]))
+        for r in range(row[part][0] + 1, row[part][-1]):
+            a, b = np.searchsorted(row[part], [r, r + 1])
+            assert ids[at[a] : at[b]].tolist() == library.encode(texts[r], add_special_tokens=False).ids, texts[r]
+
+
+def test_word_table_keeps_words_apart():
+    rng = random.Random(8)
+    pool = [bytes(rng.choices(b"ab\x00", k=rng.choice([1, 7, 8, 9, 15, 16, 17, 23, 24, 25, 40]))) for _ in range(400)]
+    table = words.WordTable(lambda units: [(np.concatenate([np.frombuffer(u.encode(), np.uint8) for u in units]), np.array([len(u) for u in units]))], ("u1",), 100, 20_000)
+    for _ in range(20):
+        said = rng.choices(pool, k=300)
+        end = np.cumsum([len(w) for w in said])
+        start = end - [len(w) for w in said]
+        values, at = table.gather(0, table.numbers(np.frombuffer(b"".join(said), np.uint8), start, end))
+        assert [values[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)] == said
+        assert len(table) <= 101 + 300
+
+
 def test_automaton_is_minimal(tmp_path):
-    words = {w.encode(): [i, i + 1][: 1 + i % 2] for i, w in enumerate(["tap", "taps", "top", "tops", "stop", "stops", "", "é"])}
+    lexicon = {w.encode(): [i, i + 1][: 1 + i % 2] for i, w in enumerate(["tap", "taps", "top", "tops", "stop", "stops", "", "é"])}
     path = tmp_path / "lexicon"
-    path.write_bytes(tokens.pack_lexicon(words))
+    path.write_bytes(tokens.pack_lexicon(lexicon))
     lex = tokens.Lexicon(str(path))
-    number = lex.find([*words, b"ta", b"tapsx", b"\xff", b"sto"])
-    assert (number[len(words) :] == -1).all() and sorted(number[: len(words)]) == list(range(len(words)))
-    for w, n in zip(words, number, strict=False):
-        assert lex.ids[lex.starts[n] : lex.starts[n + 1]].tolist() == words[w]
+    number = lex.find([*lexicon, b"ta", b"tapsx", b"\xff", b"sto"])
+    assert (number[len(lexicon) :] == -1).all() and sorted(number[: len(lexicon)]) == list(range(len(lexicon)))
+    for w, n in zip(lexicon, number, strict=False):
+        assert lex.ids[lex.starts[n] : lex.starts[n + 1]].tolist() == lexicon[w]
     edges, final, _ = tokens.build_automaton(sorted([b"tap", b"taps", b"top", b"tops"]))
     assert len(edges) == 5  # t, a|o, p, s: the endings are shared
 
@@ -485,7 +514,7 @@ def test_section_counts(spark, odd, empty, documents, library):
                 first = max(k for k, x in enumerate(cuts) if x <= a)
                 last = max(k for k, x in enumerate(cuts) if x <= max(a, b - 1))
                 n[{"start": first, "end": last, "most": over.index(max(over)) if max(over) else first}[options.get("rule", "start")]] += 1
-            truth += [(d, k, x, y, c) for k, (x, y, c) in enumerate(zip(cuts, ends, n, strict=True))]
+            truth += [(d, "run" if size else "line", k, x, y, c) for k, (x, y, c) in enumerate(zip(cuts, ends, n, strict=True))]
         same(tokens.section_token_counts(df, **options), truth)
     assert tokens.section_token_counts(empty).isEmpty()
     with pytest.raises(ValueError):
