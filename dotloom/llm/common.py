@@ -102,30 +102,6 @@ def views(text: pa.Array, max_bytes: int = 1 << 20):
         row = end
 
 
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-_TABLE = np.random.default_rng(20240229).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        out = np.full(n, base, np.uint64)
-        out[:1] = 1
-        return np.multiply.accumulate(out)
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse modulo 2**64, kept for sizes up to 4 MB."""
-    size = max(1 << 21, n)
-    if size not in _POWERS:
-        pair = _powers(_BASE, size), _powers(_INVERSE, size)
-        if size > 1 << 22:
-            return pair
-        _POWERS[size] = pair
-    return _POWERS[size]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective finaliser on 64-bit integers."""
     with np.errstate(over="ignore"):
@@ -134,19 +110,63 @@ def mix(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(31))
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """Prefix sums from which :func:`range_hash` takes the hash of any byte range."""
+def _joined_names(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A name for each pair of names; the order of the two counts."""
     with np.errstate(over="ignore"):
-        out = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_TABLE[data] * powers(len(data))[0][: len(data)], out=out[1:])
-        return out
+        h = a * np.uint64(0x9FB21C651E98DF25)
+        h ^= h >> np.uint64(35)
+        h += b
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(32)
+        return h
 
 
-def range_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of data[start:end]; equal bytes give equal hashes wherever they stand."""
-    with np.errstate(over="ignore"):
-        inverse = powers(len(prefix))[1]
-        return mix((prefix[end] - prefix[start]) * inverse[start])
+def joined_names(first: np.ndarray, *more: np.ndarray) -> np.ndarray:
+    """A 64-bit name for each tuple of 64-bit names."""
+    for x in more:
+        first = _joined_names(first, x.astype(np.uint64))
+    return first
+
+
+def gram_names(data: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit name for the ``size`` (8, 16, 32, ...) bytes from each offset on.
+
+    Names of q-grams at offsets i and i + q make the name of the 2q-gram at i, so each step reuses
+    the one before it; the first names are the eight bytes themselves.
+    """
+    if len(data) < size:
+        return np.zeros(0, np.uint64)
+    name = np.ndarray(len(data) - 7, "<u8", np.ascontiguousarray(data), strides=(1,)).copy()
+    name = _joined_names(name, name)
+    q = 8
+    while q < size:
+        name = _joined_names(name[:-q], name[q:])
+        q *= 2
+    return name
+
+
+def word_names(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit name for each word data[start:end], from all its bytes and their number."""
+    n = end - start
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    name = n.astype(np.uint64)
+    step, left = 0, np.arange(len(n))
+    while len(left):
+        block = eight[start[left] + step] & _LOW_BYTES[np.minimum(n[left] - step, 8)]
+        name[left] = _joined_names(name[left], block)
+        step += 8
+        left = left[n[left] > step]
+    return mix(name)
+
+
+_LOW_BYTES = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+
+
+def text_key(text) -> list:
+    """Two columns, k1 and k2, that name a text: 128 bits from two seeds."""
+    return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(7), text).alias("k2")]
 
 
 #: Bytes that part words: \x20 and \x09-\x0D.
@@ -187,27 +207,21 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, size: int = 5):
     data = LOWER[data]
     start, end, row = words_in(data, offs, ~SPACE)
     rows = len(offs) - 1
-    prefix = prefix_hash(data)
-    word = range_hash(prefix, start, end)
+    word = word_names(data, start, end)
     counts = np.bincount(row, minlength=rows)
     first = np.zeros(rows + 1, np.int64)
     np.cumsum(counts, out=first[1:])
-    at = np.arange(len(word))
-    full = at + size <= first[row + 1]
-    with np.errstate(over="ignore"):
-        acc = np.zeros(len(word), np.uint64)
-        weight = 1
-        for k in range(size):
-            weight = weight * 0xD1342543DE82EF95 % (1 << 64)
-            acc[: max(0, len(word) - k)] += word[k:] * np.uint64(weight)
-        pieces, owners = [mix(acc[full])], [row[full]]
-        for r in np.flatnonzero((counts > 0) & (counts < size)):
-            w, s = word[first[r] : first[r + 1]], np.uint64(len(word[first[r] : first[r + 1]]))
-            h = s
-            for x in w:
-                h = mix(np.array([h * np.uint64(_BASE) + x], np.uint64))[0]
-            pieces.append(np.array([h], np.uint64))
-            owners.append(np.array([r]))
+    full = np.arange(len(word)) + size <= first[row + 1]
+    runs = max(0, len(word) - size + 1)
+    names = joined_names(*(word[k : k + runs] for k in range(size)))
+    pieces, owners = [mix(names[full[:runs]])], [row[full]]
+    short = np.flatnonzero((counts > 0) & (counts < size))
+    name = counts[short].astype(np.uint64)
+    for k in range(size - 1):
+        more = counts[short] > k
+        name[more] = joined_names(name[more], word[first[short[more]] + k])
+    pieces.append(mix(name))
+    owners.append(short)
     hashes, owner = np.concatenate(pieces), np.concatenate(owners)
     order = np.lexsort((hashes, owner))
     hashes, owner = hashes[order], owner[order]
@@ -219,6 +233,27 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, size: int = 5):
     return out, hashes
 
 
+#: A key with more than this share of all rows is joined by broadcast: a thousand keys at most.
+HEAVY = 1 / 1000
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, count: str, total: int | None, spread) -> DataFrame:
+    """Left join with ``right``, which has one row for each ``key`` and says in ``count`` how many rows of ``left`` have it.
+
+    Rows of the few heaviest keys find theirs by broadcast; they then join nothing, under a key made of
+    ``spread`` (of the key's type), so that no task joins all rows of one key. ``total`` is the sum of ``count``.
+    """
+    limit = max(1000, int((total or 0) * HEAVY))
+    values = [c for c in right.columns if c != key]
+    own, few, most = fresh_names([*left.columns, *right.columns], "own_key", "few", "most")
+    packed = right.select(F.col(key).alias(own), F.struct(*values).alias("x"), F.col(count).alias("n"))
+    rows = left.join(F.broadcast(packed.where(F.col("n") > limit).select(F.col(own).alias(key), F.col("x").alias(few))), key, "left")
+    rows = rows.withColumn(own, F.when(F.col(few).isNull(), F.col(key)).otherwise(spread))
+    rows = rows.join(packed.where(F.col("n") <= limit).select(own, F.col("x").alias(most)), own, "left")
+    value = F.coalesce(F.col(few), F.col(most))
+    return rows.select(*left.columns, *[value[c].alias(c) for c in values])
+
+
 #: Bytes of an Arrow batch between the JVM and a Python worker.
 BATCH_BYTES = 4 << 20
 

@@ -5,15 +5,19 @@
    leaves every task once.
 2. Directory: distinct keys are counted by their leading bits. Starting from one bucket, overfull
    buckets are split; when a bucket is as deep as the directory, the directory doubles. It has
-   ``2 ** max_depth`` cells at most, whatever the size of the table.
+   ``2 ** max_depth`` cells at most, whatever the size of the table; a bucket that is overfull there
+   goes on splitting by the bits that follow, which are written beside its cell.
 3. Owner tasks: each owns the key ranges of some buckets, reads the entries in key order, chains
    entries of equal key, and tells collisions apart by comparing bytes. The finished buckets are
    index files in the shared folder.
-4. Every row looks its key up in the index.
-
-Defined results: null text is the empty text; a row with a null id joins its group and counts, but
-a null id is never the id that stays unless the group has no other; rows that repeat an id and a
-text belong to one group, count singly and share one verdict; an empty table gives no rows.
+4. Every row looks its key up in the index. The few groups with more than a thousandth of all rows,
+   at most a thousand, are broadcast, so that no task joins all rows of one of them.
+
+Defined results: null text is the empty text. Exactly one row of a group stays: the one with the
+smallest id, where a null id comes after all others; of rows that repeat that id the one whose text
+as written has the smallest digest; of rows that repeat that too, any one. Rows that repeat an id with
+another text belong to the other text's group. All rows count in ``group_size``. An empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -22,10 +26,10 @@ import hashlib
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions, text_of, tidy
+from .common import fresh_names, materialize, partitions, text_of, tidy
 
 _SPACES = re.compile(rb"[\x20\x09-\x0D]+")
 
@@ -50,45 +54,47 @@ def key_of(norm: bytes) -> int:
 
 def _keys(batches):
     for batch in batches:
-        keys, shas = [], []
-        for text in text_of(batch.column(1)).cast(pa.binary()).to_pylist():
-            norm = _fast_normalise(text)
-            keys.append(key_of(norm))
-            shas.append(hashlib.sha256(norm).hexdigest())
-        yield pa.record_batch([batch.column(0), pa.array(keys, pa.int64()), pa.array(shas, pa.string())], ["id", "key", "sha"])
+        norms = [_fast_normalise(t) for t in text_of(batch.column("text")).cast(pa.binary()).to_pylist()]
+        keys, shas = [key_of(n) for n in norms], [hashlib.sha256(n).digest() for n in norms]
+        yield pa.record_batch([batch.column("id"), batch.column("raw"), batch.column("pos"), pa.array(keys, pa.int64()), pa.array(shas, pa.binary())], ["id", "raw", "pos", "key", "sha"])
+
+
+def _rank(row: tuple) -> tuple:
+    """Order of (id, raw, ...): null ids last."""
+    return (row[0] is None, row[0] or 0, row[1])
+
+
+def _merged(a: tuple, b: tuple) -> tuple:
+    """Of two (lowest id, its digest, rows with both, rows), the one of all their rows."""
+    low, high = (a, b) if _rank(a) <= _rank(b) else (b, a)
+    return low[0], low[1], low[2] + (high[2] if _rank(low) == _rank(high) else 0), low[3] + high[3]
+
+
+_LOW = "low_id long, low_raw binary, n_low long, n long"
 
 
 def _entries(limit: int):
     def run(batches):
-        held: dict[bytes, list] = {}
+        held: dict[bytes, tuple] = {}
         size = 0
 
         def flush():
             rows = list(held.items())
             for i in range(0, len(rows), 500):
                 part = rows[i : i + 500]
+                low = list(zip(*(v for _, v in part), strict=True))
                 yield pa.record_batch(
-                    [
-                        pa.array([key_of(n) for n, _ in part], pa.int64()),
-                        pa.array([n for n, _ in part], pa.binary()),
-                        pa.array([v[0] for _, v in part], pa.int64()),
-                        pa.array([v[1] for _, v in part], pa.int64()),
-                    ],
-                    ["key", "norm", "low_id", "n"],
+                    [pa.array([key_of(n) for n, _ in part], pa.int64()), pa.array([n for n, _ in part], pa.binary())] + [pa.array(c, t) for c, t in zip(low, (pa.int64(), pa.binary(), pa.int64(), pa.int64()), strict=True)],
+                    ["key", "norm", "low_id", "low_raw", "n_low", "n"],
                 )
 
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for doc, text in zip(ids, text_of(batch.column(1)).cast(pa.binary()).to_pylist(), strict=True):
+            for doc, raw, text in zip(batch.column("id").to_pylist(), batch.column("raw").to_pylist(), text_of(batch.column("text")).cast(pa.binary()).to_pylist(), strict=True):
                 norm = _fast_normalise(text)
+                row = (doc, raw, 1, 1)
                 got = held.get(norm)
-                if got is None:
-                    held[norm] = [doc, 1]
-                    size += len(norm) + 200
-                else:
-                    got[1] += 1
-                    if doc is not None and (got[0] is None or doc < got[0]):
-                        got[0] = doc
+                held[norm] = row if got is None else _merged(got, row)
+                size += len(norm) + 200 if got is None else 0
                 if size > limit:
                     yield from flush()
                     held.clear()
@@ -127,6 +133,15 @@ def build_directory(counts: dict[int, int], capacity: int, max_depth: int) -> tu
     return depth, directory
 
 
+def deeper_bits(counts: dict[int, int], capacity: int, depth: int, directory: list[tuple[int, int]], max_depth: int) -> list[int]:
+    """For each cell, by how many further bits its bucket splits: none above the deepest level."""
+    out = []
+    for prefix, local in directory:
+        load = counts.get(prefix, 0) if local == max_depth else 0
+        out.append(max(0, -(-load // capacity) - 1).bit_length())
+    return out
+
+
 def _chain(batches):
     """Rows come in key order: chain the distinct texts of a key, comparing bytes."""
     current, chain = None, []
@@ -134,31 +149,30 @@ def _chain(batches):
     def done():
         # Ordered by bytes, so a position in the chain never depends on arrival.
         rows = sorted(chain)
+        low = list(zip(*(r[1] for r in rows), strict=True))
         return pa.record_batch(
             [
                 pa.array([current] * len(rows), pa.int64()),
                 pa.array(range(len(rows)), pa.int32()),
-                pa.array([hashlib.sha256(r[0]).hexdigest() for r in rows], pa.string()),
-                pa.array([r[1] for r in rows], pa.int64()),
-                pa.array([r[2] for r in rows], pa.int64()),
+                pa.array([hashlib.sha256(r[0]).digest() for r in rows], pa.binary()),
+                *(pa.array(c, t) for c, t in zip(low, (pa.int64(), pa.binary(), pa.int64(), pa.int64()), strict=True)),
             ],
-            ["key", "link", "sha", "keep_id", "group_size"],
+            ["key", "link", "sha", "keep_id", "keep_raw", "n_keep", "group_size"],
         )
 
     out = []
     for batch in batches:
-        for key, norm, low, n in zip(*(batch.column(c).to_pylist() for c in ("key", "norm", "low_id", "n")), strict=True):
+        for key, norm, *low in zip(*(batch.column(c).to_pylist() for c in ("key", "norm", "low_id", "low_raw", "n_low", "n")), strict=True):
             if key != current:
                 if chain:
                     out.append(done())
                 current, chain = key, []
             for link in chain:
                 if link[0] == norm:
-                    link[1] = low if link[1] is None else link[1] if low is None else min(link[1], low)
-                    link[2] += n
+                    link[1] = _merged(link[1], tuple(low))
                     break
             else:
-                chain.append([norm, low, n])
+                chain.append([norm, tuple(low)])
         if out:
             yield pa.Table.from_batches(out).combine_chunks().to_batches()[0]
             out = []
@@ -166,46 +180,76 @@ def _chain(batches):
         yield done()
 
 
+def _digest(text: Column) -> Column:
+    """16 bytes for a text as it is written."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
 def build_index(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", bucket_capacity: int = 1000, max_depth: int = 14, combine_bytes: int = 24 << 20) -> tuple[DataFrame, DataFrame]:
-    """(keys of all rows, index): the index has key, link (place in the chain), sha, keep_id, group_size."""
+    """(keys of all rows, index): the index has key, link (place in the chain), sha, keep_id, keep_raw, n_keep, group_size."""
     spark = docs.sparkSession
-    pair = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    keys = materialize(pair.mapInArrow(tidy(_keys), "id long, key long, sha string"), "exact-keys")
+    text = F.col(text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), _digest(text).alias("raw"), text.alias("text"))
+    # Row numbers are used only as they were written.
+    keys = materialize(rows.withColumn("pos", F.monotonically_increasing_id()).mapInArrow(tidy(_keys), "id long, raw binary, pos long, key long, sha binary"), "exact-keys")
     prefix = F.shiftrightunsigned("key", 64 - max_depth)
     counted = keys.groupBy("key").agg(F.lit(1).alias("one")).groupBy(prefix.alias("p")).count()
     # At most 2 ** max_depth rows come to the driver.
-    depth, directory = build_directory({r.p: r["count"] for r in counted.collect()}, bucket_capacity, max_depth)
+    counts = {r.p: r["count"] for r in counted.collect()}
+    depth, directory = build_directory(counts, bucket_capacity, max_depth)
     numbers: dict[tuple[int, int], int] = {}
-    cells = [(i, numbers.setdefault(b, len(numbers))) for i, b in enumerate(directory)]
-    entries = pair.mapInArrow(tidy(_entries(combine_bytes)), "key long, norm binary, low_id long, n long")
+    more = deeper_bits(counts, bucket_capacity, depth, directory, max_depth)
+    cells = [(i, numbers.setdefault(b, len(numbers)), n) for i, (b, n) in enumerate(zip(directory, more, strict=True))]
+    entries = rows.mapInArrow(tidy(_entries(combine_bytes)), f"key long, norm binary, {_LOW}")
     if depth:
-        lookup = F.broadcast(spark.createDataFrame(cells, "cell int, bucket int"))
-        cell = F.shiftrightunsigned("key", 64 - depth).cast("int")
-        entries = entries.withColumn("cell", cell).join(lookup, "cell").drop("cell")
+        lookup = F.broadcast(spark.createDataFrame(cells, "cell int, bucket int, deeper int"))  # 2 ** max_depth rows at most
+        entries = entries.withColumn("cell", F.shiftrightunsigned("key", 64 - depth).cast("int")).join(lookup, "cell").drop("cell")
+        entries = entries.withColumn("part", F.when(F.col("deeper") > 0, F.expr(f"shiftrightunsigned(shiftleft(key, {max_depth}), 64 - deeper)")).otherwise(F.lit(0)))
     else:
-        entries = entries.withColumn("bucket", F.lit(0))
-    owned = entries.repartition(partitions(spark), "bucket").sortWithinPartitions("key")
-    index = materialize(owned.select("key", "norm", "low_id", "n").mapInArrow(tidy(_chain), "key long, link int, sha string, keep_id long, group_size long"), "exact-index")
-    return keys, index
+        entries = entries.withColumn("bucket", F.lit(0)).withColumn("part", F.lit(0))
+    owned = entries.repartition(partitions(spark), "bucket", "part").sortWithinPartitions("key")
+    chained = owned.select("key", "norm", "low_id", "low_raw", "n_low", "n").mapInArrow(tidy(_chain), "key long, link int, sha binary, keep_id long, keep_raw binary, n_keep long, group_size long")
+    return keys, materialize(chained, "exact-index")
+
+
+#: Groups with more than this share of all rows are looked up by broadcast: a thousand at most.
+_HEAVY = 1 / 1000
+
+
+def _judged(keys: DataFrame, index: DataFrame) -> DataFrame:
+    """keys with keep_id, group_size, and kept for exactly one row of each group."""
+    total = index.agg(F.sum("group_size").alias("n"), F.max("n_keep").alias("most")).head()
+    limit = F.lit(max(1000, int((total.n or 0) * _HEAVY)))
+    found, on = index.select("key", "sha", "keep_id", "keep_raw", "n_keep", "group_size"), ["key", "sha"]
+    heavy = F.broadcast(found.where(F.col("group_size") > limit))
+    rows = keys.join(heavy, on).unionByName(keys.join(heavy.select(*on), on, "left_anti").join(found.where(F.col("group_size") <= limit), on))
+    same = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("raw") == F.col("keep_raw"))
+    if (total.most or 0) < 2:
+        return rows.withColumn("kept", same)
+    # Rows that repeat the id and the text that stay: one of them, found by an aggregate.
+    first = rows.where(same & (F.col("n_keep") > 1)).groupBy(*on).agg(F.min("pos").alias("first"))
+    return rows.join(first, on, "left").withColumn("kept", same & ((F.col("n_keep") == 1) | (F.col("pos") == F.col("first"))))
 
 
 def exact_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **index_options) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
-    keys, index = build_index(docs, text_col, id_col, **index_options)
-    found = keys.alias("k").join(index.alias("i"), (F.col("k.key") == F.col("i.key")) & (F.col("k.sha") == F.col("i.sha")))
-    return found.select(
-        F.col("k.id").alias("doc_id"),
-        "i.keep_id",
-        "i.group_size",
-        F.col("k.id").eqNullSafe(F.col("i.keep_id")).alias("kept"),
-        F.col("k.sha").alias("text_sha256"),
-    )
+    rows = _judged(*build_index(docs, text_col, id_col, **index_options))
+    return rows.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def drop_exact_copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **index_options) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns.
-
-    A row with a null id is nobody's copy and always stays.
-    """
-    dropped = exact_groups(docs, text_col, id_col, **index_options).where("not kept").select(F.col("doc_id").alias("__dropped_id")).distinct()
-    return docs.join(dropped, docs[id_col] == dropped["__dropped_id"], "left_anti")
+    """One row of each group, the one that stays, with all its columns."""
+    keys, index = build_index(docs, text_col, id_col, **index_options)
+    judged = _judged(keys, index)
+    gone, tied, raw = fresh_names(docs.columns, "gone_id", "tied_id", "raw")
+    at_id, at_raw = F.col(id_col).cast("long"), _digest(F.col(text_col))
+    same = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("raw") == F.col("keep_raw"))
+    dropped = judged.where(~same).select(F.col("id").alias(gone), F.col("raw").alias(raw)).distinct()
+    kept = docs.join(dropped, at_id.eqNullSafe(F.col(gone)) & (at_raw == F.col(raw)), "left_anti")
+    again = index.where("n_keep > 1").select(F.col("keep_id").alias(tied), F.col("keep_raw").alias(raw))
+    if again.isEmpty():
+        return kept
+    # Rows that repeat id and text: an aggregate leaves one of each, and every task sends one at most.
+    on = at_id.eqNullSafe(F.col(tied)) & (at_raw == F.col(raw))
+    once = kept.join(again, on, "left_semi").withColumn(raw, at_raw).withColumn(tied, at_id).dropDuplicates([tied, raw]).select(*docs.columns)
+    return kept.join(again, on, "left_anti").unionByName(once)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, mix, prefix_hash, range_hash, text_of, tidy, views, words_in
+from .common import LOWER, joined_names, text_of, tidy, views, word_names, words_in
 
 _WORD = re.compile(rb"[a-z0-9\x80-\xff]+(?:\.[0-9]+)*")
 
@@ -129,11 +129,10 @@ def _hashed_pairs(offs: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.nd
     """(place of the second word, hash) of adjacent words without regard to numbers' dots."""
     data = LOWER[data]
     start, end, row = words_in(data, offs, _LETTERS)
-    word = range_hash(prefix_hash(data), start, end)
+    word = word_names(data, start, end)
     if len(word) < 2:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    with np.errstate(over="ignore"):
-        pair = mix(word[:-1] * np.uint64(0xA0761D6478BD642F) + word[1:])
+    pair = joined_names(word[:-1], word[1:])
     same = row[:-1] == row[1:]
     return start[1:][same], pair[same]
 
@@ -161,9 +160,8 @@ def _tokens(offs: np.ndarray, data: np.ndarray):
 
 
 def _token_pairs(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    word = range_hash(prefix_hash(data), start, end)
-    with np.errstate(over="ignore"):
-        return mix(word[:-1] * np.uint64(0xA0761D6478BD642F) + word[1:])
+    word = word_names(data, start, end)
+    return joined_names(word[:-1], word[1:])
 
 
 class Passages:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, mix, prefix_hash, range_hash, text_of, tidy, views, words_in
+from .common import LOWER, mix, text_of, tidy, views, word_names, words_in
 
 _LETTERS = np.zeros(256, bool)
 _LETTERS[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
@@ -34,7 +34,7 @@ def gram_slots(data: np.ndarray, offs: np.ndarray, bits: int) -> tuple[np.ndarra
     """(row, slot) of every word, word pair and skip pair of the rows; repeats included."""
     data = LOWER[data]
     start, end, row = words_in(data, offs, _LETTERS)
-    word = range_hash(prefix_hash(data), start, end)
+    word = word_names(data, start, end)
     rows, grams = [row], [word]
     with np.errstate(over="ignore"):
         for step, salt in ((1, _PAIR[0]), (2, _PAIR[1])):

@@ -58,34 +58,53 @@ def same(got, truth):
 
 
 def brute_exact(docs):
+    """One row of each group is kept: smallest id (null last), then smallest digest of the text as written, then any."""
     norm = [re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for _, t in docs]
-    ids, sizes = defaultdict(list), Counter(norm)
-    for (d, _), n in zip(docs, norm, strict=True):
-        if d is not None:
-            ids[n].append(d)
-    for (d, _), n in zip(docs, norm, strict=True):
-        keep = min(ids[n]) if ids[n] else None
-        yield d, keep, sizes[n], d == keep, hashlib.sha256(n.encode()).hexdigest()
+    groups = defaultdict(list)
+    for i, ((d, t), n) in enumerate(zip(docs, norm, strict=True)):
+        groups[n].append((d is None, d or 0, hashlib.md5((t or "").encode()).digest(), i))
+    for i, ((d, _), n) in enumerate(zip(docs, norm, strict=True)):
+        low = min(groups[n])
+        yield d, None if low[0] else low[1], len(groups[n]), low[3] == i, hashlib.sha256(n.encode()).hexdigest()
 
 
 def test_exact(odd, empty, documents):
     for df in (odd, documents):
         for options in ({}, {"bucket_capacity": 2, "combine_bytes": 100}):
             same(exact_dedup.exact_groups(df, **options), brute_exact(pairs(df)))
-    assert exact_dedup.exact_groups(empty).isEmpty()
+    assert exact_dedup.exact_groups(empty).isEmpty() and exact_dedup.drop_exact_copies(empty).isEmpty()
     kept = exact_dedup.drop_exact_copies(odd)
     assert kept.columns == odd.columns
-    assert {r.doc_id for r in kept.collect()} == {r[0] for r in brute_exact(pairs(odd)) if r[3]}
+    norms = lambda docs: sorted(repr((d, re.sub(r"\s+", " ", t or ""))) for d, t in docs)
+    assert norms(pairs(kept)) == norms([x for x, r in zip(pairs(odd), brute_exact(pairs(odd)), strict=True) if r[3]])
+
+
+def test_repeated_ids_lose_no_text(spark):
+    rows_ = [(1, "x"), (2, "x"), (2, "y"), (2, "y"), (3, "y  z"), (3, "y z"), (None, "x"), (None, "u"), (None, "u"), (4, None), (4, "")]
+    df = spark.createDataFrame(rows_, "doc_id long, text string").repartition(3)
+    got = [(d, " ".join((t or "").split())) for d, t in pairs(exact_dedup.drop_exact_copies(df))]
+    assert sorted(map(repr, got)) == sorted(map(repr, [(1, "x"), (2, "y"), (3, "y z"), (None, "u"), (4, "")]))
+    same(exact_dedup.exact_groups(df), brute_exact(pairs(df)))
+    near = NEAR.replace("w30 ", "other ")
+    rows_ = [(1, NEAR), (2, near), (2, "other text"), (3, near), (3, near), (None, NEAR), (None, "alone"), (None, "alone"), (5, ""), (5, "")]
+    df = spark.createDataFrame(rows_, "doc_id long, text string").repartition(3)
+    assert sorted(map(repr, pairs(jaccard.keep_one_of_each(df)))) == sorted(map(repr, [(1, NEAR), (2, "other text"), (None, "alone"), (5, ""), (5, "")]))
+
+
+def test_deeper_buckets():
+    counts = {0: 5000, 1: 3, 2: 1, 3: 0}
+    depth, directory = exact_dedup.build_directory(counts, 1000, 2)
+    assert depth == 2 and exact_dedup.deeper_bits(counts, 1000, depth, directory, 2) == [3, 0, 0, 0]
 
 
 def test_exact_tells_colliding_keys_apart(odd, monkeypatch):
-    batch = [(1, b"x", 1, 1), (1, b"y", 2, 1), (1, b"x", 0, 3), (2, b"z", None, 1), (2, b"z", 9, 1)]
+    batch = [(1, b"x", 1, b"p", 1, 1), (1, b"y", 2, b"p", 1, 1), (1, b"x", 0, b"q", 2, 3), (1, b"x", 0, b"q", 1, 1), (2, b"z", None, b"a", 1, 1), (2, b"z", 9, b"b", 1, 1)]
     import pyarrow as pa
 
-    cols = list(zip(*batch, strict=True))
-    data = pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())], ["key", "norm", "low_id", "n"])
+    kinds = {"key": pa.int64(), "norm": pa.binary(), "low_id": pa.int64(), "low_raw": pa.binary(), "n_low": pa.int64(), "n": pa.int64()}
+    data = pa.record_batch([pa.array(c, t) for c, t in zip(zip(*batch, strict=True), kinds.values(), strict=True)], list(kinds))
     got = [r for b in exact_dedup._chain(iter([data])) for r in b.to_pylist()]
-    assert [(r["key"], r["link"], r["keep_id"], r["group_size"]) for r in got] == [(1, 0, 0, 4), (1, 1, 2, 1), (2, 0, 9, 2)]
+    assert [(r["key"], r["link"], r["keep_id"], r["n_keep"], r["group_size"]) for r in got] == [(1, 0, 0, 3, 5), (1, 1, 2, 1, 1), (2, 0, 9, 1, 2)]
 
 
 def test_directory_doubles_and_splits():
@@ -252,6 +271,73 @@ def test_few_words_alone(spark):
         same(jaccard.near_duplicates(one), [(7, 1, 7)])
 
 
+def test_thue_morse_words_are_apart(spark):
+    word = "a"
+    for _ in range(11):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    df = spark.createDataFrame([(1, word), (2, other), (3, " ".join([word, other] * 3)), (4, " ".join([other, word] * 3))], "doc_id long, text string")
+    same(jaccard.near_duplicates(df), brute_near(pairs(df)))
+    same(suffix_dedup.repeated_bytes(df), brute_suffix(pairs(df)))
+
+
+def region(rng, n, core=0.5):
+    """Sets around one centre: some within the link distance of it, the others in clusters farther out."""
+    centre = rng.choice(1 << 40, 200, replace=False)
+    rims = [np.concatenate([centre[: int(rng.integers(60, 150))], rng.choice(1 << 40, 100, replace=False)]) for _ in range(6)]
+    out = []
+    for _ in range(n):
+        base = centre if rng.random() < core else rims[rng.integers(len(rims))]
+        kept = base[rng.random(len(base)) > 0.12 * rng.random()]
+        out.append(np.unique(np.concatenate([kept, rng.choice(1 << 40, int(rng.integers(0, 12)), replace=False)])).astype(np.uint64))
+    return out
+
+
+def test_cells_join_exactly():
+    rng = np.random.default_rng(3)
+    for n, core in ((30, 0.5), (400, 0.5), (400, 0.0), (400, 1.0), (1500, 0.3)):
+        sets = region(rng, n, core)
+        got = jaccard.cell_links(sets, np.ones(n, bool), np.zeros(n, bool), leaf=16, pivots=4)
+        shared = jaccard._dense_overlaps(sets, sets)
+        sizes = np.array([len(s) for s in sets])
+        linked = 100 * shared >= 80 * (sizes[:, None] + sizes[None, :] - shared)
+        assert all(linked[i, j] for i, j in got)
+        root, truth = list(range(n)), list(range(n))
+
+        def find(r, x):
+            while r[x] != x:
+                x = r[x]
+            return x
+
+        for i, j in got:
+            root[find(root, i)] = find(root, j)
+        for i, j in zip(*np.nonzero(linked), strict=True):
+            truth[find(truth, i)] = find(truth, j)
+        parts = lambda r: {frozenset(k for k in range(n) if find(r, k) == x) for x in {find(r, k) for k in range(n)}}
+        assert parts(root) == parts(truth)
+
+
+def test_large_regions_split(spark):
+    rng = np.random.default_rng(5)
+    sets = region(rng, 1200, 0.4)
+    docs = [(i, " ".join(f"x{t}" for t in s.tolist())) for i, s in enumerate(sets)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    nodes, texts = jaccard.shingle_nodes(df)
+    parts = []
+    for weight in (jaccard.CELL, 120_000, 20_000):
+        roots = components.connected_components(jaccard.near_links(texts, nodes, weight))
+        named = nodes.join(roots, "node", "left").select("doc_id", F.hex(F.coalesce("root", "node")).alias("root")).collect()
+        groups = defaultdict(set)
+        for r in named:
+            groups[r.root].add(r.doc_id)
+        parts.append(set(map(frozenset, groups.values())))
+    assert parts[0] == parts[1] == parts[2] and len(parts[0]) > 6
+    truth = defaultdict(set)
+    for d, _, c in brute_near(docs):
+        truth[c].add(d)
+    assert parts[0] == set(map(frozenset, truth.values()))
+
+
 def test_components(spark):
     rng = random.Random(2)
     links = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5, 5), (None, 3)]
@@ -608,7 +694,7 @@ def test_pipeline_stages(spark, documents):
         if name == "toxicity":
             assert sum(labels.get(d) == 0 and d not in after for d, _ in before) <= 2
         if name == "exact dedup":
-            assert set(after) == {r[0] for r in brute_exact(before) if r[3]}
+            assert set(after) == {r[0] for r in brute_exact(before) if r[3]} and len(after) == docs.count()
         if name == "jaccard join":
             assert set(after) == {d for d, _, c in brute_near(before) if d == c}
         if name == "suffix dedup":
