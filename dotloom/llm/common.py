@@ -13,8 +13,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -22,22 +20,33 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN_DIR: list[str] = []
+from ..sources.workspace import shared_folder
+
+_MADE: list[str] = []
 
 
 def work_dir(spark: SparkSession, tag: str) -> str:
-    """A new folder under ``spark.checkpoint.dir``, which driver and executors share.
+    """A new folder that driver and executors share, see shared_folder()."""
+    _MADE.append(shared_folder(spark, tag))
+    return _MADE[-1]
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
 
-    Only where that setting is absent (local tests) a folder of this process is used.
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Work folders made inside are deleted at the end, but that of the last one, the result.
+
+    For steps whose result is written before the block ends; published lexicons stay, as new executors fetch them.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        if not _OWN_DIR:
-            _OWN_DIR.append(tempfile.mkdtemp(prefix="dotloom-"))
-        base = f"file://{_OWN_DIR[0]}"
-    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    mark = len(_MADE)
+    yield
+    for folder in _MADE[mark:-1]:
+        _delete(spark, folder)
+    del _MADE[mark:-1]
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -49,10 +58,8 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
 def drop_materialized(df: DataFrame) -> None:
     """Delete the files behind a frame from :func:`materialize` once nothing reads it any more."""
-    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+        _delete(df.sparkSession, folder)
 
 
 def fresh_names(taken: list[str], *wanted: str) -> list[str]:
@@ -267,7 +274,10 @@ def _give_back() -> None:
 
 
 def tidy(function):
-    """For mapInArrow: batches bounded in bytes, and a worker that keeps no memory after the task."""
+    """For mapInArrow: batches bounded in bytes, and a worker that keeps no memory after the task.
+
+    The bound is a setting of the session, read when the frame runs, so it stays set.
+    """
     session = SparkSession.getActiveSession()
     if session is not None:
         session.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))

@@ -29,6 +29,12 @@ def dealt(pid: np.ndarray, n: int, arrays: list[np.ndarray]) -> list[tuple[int,
     return [(b, b"".join(a[x:y].tobytes() for a in arrays)) for b, (x, y) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if y > x]
 
 
+def numbered(pid: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order of items by bucket, first place of each bucket and the end): an item's number is its place in that order."""
+    order = np.argsort(pid, kind="stable")
+    return order, np.searchsorted(pid[order], np.arange(n + 1))
+
+
 def taken(data: bytes, kinds: list) -> list[np.ndarray]:
     """The arrays of one packed row again."""
     sizes = [np.dtype(k).itemsize for k in kinds]
@@ -47,6 +53,11 @@ def source_number() -> int:
     return TaskContext.get().partitionId() << 24
 
 
+def home(src: int, buckets: int) -> int:
+    """The bucket through which a sender's own tables go back to it: senders' homes are spread over all."""
+    return ((src >> 24) + (src & ((1 << 24) - 1))) % buckets
+
+
 #: Bits of a membership filter: 2 MB whatever the input; keys that share a bit only let more rows through.
 FILTER_BITS = 1 << 24
 

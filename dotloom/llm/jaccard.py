@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from .common import by_key, deal, fresh_names, materialize, partitions, shingle_sets, spread_join, text_key, text_of, tidy, views
 from .components import connected_components
-from .exchange import SCHEMA, dealt, may_hold, membership_filter, rows, source_number, taken
+from .exchange import SCHEMA, home, may_hold, membership_filter, numbered, rows, source_number, taken
 
 #: The similarity of a link as a fraction, and how much longer than needed the sample prefix is.
 LINK = (80, 100)
@@ -48,9 +48,9 @@ EXTRA = 0.06
 #: Members of a block of a region.
 BLOCK = 256
 
-_HEAD = ["<i8", "<i8", "<i8", "<i8", "<i8", "<i8", "<u4"]  # doc, has doc, text key, node, size
-#: Kinds of packed rows: heads of rows, (shingle's number, row) items, shingles by number, shingles of a sender.
-_HEADS, _ITEMS, _SHINGLES, _SENT = range(4)
+_HEAD = ["<i8", "<u1", "<i8", "<i8", "<i8", "<i8", "<u4", "<u4"]  # doc, has doc, text key, node, size, shingles sent
+#: Kinds of packed rows: heads of rows, numbers of their shingles, shingles of a sender for their owner.
+_HEADS, _ITEMS, _SENT = range(3)
 
 
 def least_shared(n: np.ndarray) -> np.ndarray:
@@ -89,21 +89,22 @@ def _send_prefixes(buckets: int, whole: bool, bitmap):
         src, seen = source_number(), set()
         if bits is not None:
             batches = (b.filter(pa.array(may_hold(bits, b.column("k1").to_numpy()))) for b in batches)
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[np.ndarray] = []
         head: list[tuple[int, ...]] = []
         size = 0
 
         def flush():
-            tokens, at = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-            token, number, times = np.unique(tokens, return_inverse=True, return_counts=True)
+            token, place, times = np.unique(np.concatenate(held), return_inverse=True, return_counts=True)
+            order, cut = numbered((token >> np.uint64(20)).astype(np.int64) % buckets, buckets)
+            number = np.empty(len(token), "<u4")
+            number[order] = np.arange(len(token))
+            token, times = token[order], np.minimum(times[order], 0xFFFF).astype("<u2")
             cols = list(zip(*head, strict=True))
-            home = src % buckets
-            out = [(home, src, _HEADS, b"".join(np.array(c, k).tobytes() for c, k in zip(cols, _HEAD, strict=True)))]
-            out.append((home, src, _ITEMS, number.astype("<u4").tobytes() + at.astype("<u4").tobytes()))
-            if whole:
-                out.append((home, src, _SHINGLES, token.tobytes()))
-            pid = (token >> np.uint64(20)).astype(np.int64) % buckets
-            out += [(p, src, _SENT, d) for p, d in dealt(pid, buckets, [token, np.arange(len(token), dtype="<u4"), times.astype("<u4")])]
+            own = home(src, buckets)
+            out = [(own, src, _HEADS, b"".join(np.array(c, k).tobytes() for c, k in zip(cols, _HEAD, strict=True)))]
+            out.append((own, src, _ITEMS, number[place].tobytes()))
+            # An owner finds a shingle's number by its place behind the first.
+            out += [(p, src, _SENT, np.array([a], "<u4").tobytes() + token[a:b].tobytes() + times[a:b].tobytes()) for p, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)) if b > a]
             return rows(out)
 
         for first, cuts, hashes, batch in _sets(batches, ("text", "")):
@@ -113,19 +114,17 @@ def _send_prefixes(buckets: int, whole: bool, bitmap):
             docs = docs.fill_null(0).to_numpy()
             k1, k2 = (batch.column(c).slice(first, len(n)).to_numpy() for c in ("k1", "k2"))
             k = n - least_shared(n) + np.maximum(1, np.ceil(EXTRA * n)).astype(np.int64)
-            k = n if whole else np.minimum(n, k)
-            sent = np.zeros(len(n), bool)
+            k = n.copy() if whole else np.minimum(n, k)
             for i in range(len(n)):
                 node = _node(hashes[cuts[i] : cuts[i + 1]])
-                head.append((int(docs[i]), 0 if none[i] else 1, int(k1[i]), int(k2[i]), *np.frombuffer(node, "<i8").tolist(), int(n[i])))
-                if node not in seen:
-                    sent[i] = n[i] > 0
-                    seen.add(node)
+                if node in seen:
+                    k[i] = 0
+                seen.add(node)
+                head.append((int(docs[i]), 0 if none[i] else 1, int(k1[i]), int(k2[i]), *np.frombuffer(node, "<i8").tolist(), int(n[i]), int(k[i])))
             if len(seen) > 500_000:  # only repeats in between are sent twice
                 seen.clear()
-            base = len(head) - len(n)
-            take = np.repeat(sent, n) & (np.arange(len(hashes)) - np.repeat(cuts[:-1], n) < np.repeat(k, n))
-            held.append((hashes[take], np.repeat(np.arange(base, base + len(n)), n)[take].astype(np.uint32)))
+            take = np.arange(len(hashes)) - np.repeat(cuts[:-1], n) < np.repeat(k, n)
+            held.append(hashes[take])
             size += int(take.sum())
             if size > 400_000 or len(head) > 50_000:
                 yield flush()
@@ -153,47 +152,57 @@ def _back(src: np.ndarray, kind: int, arrays: list[np.ndarray]):
 
 
 def _owned(part: pa.Table, dtypes: list):
-    """(rows for senders that only pass by, arrays of the entries and their senders or None)."""
+    """(rows for senders that only pass by, [*arrays, numbers, senders] of the entries or None)."""
     out, got = [], []
     for src, kind, data in zip(part.column("src").to_pylist(), part.column("kind").to_pylist(), part.column("data").to_pylist(), strict=True):
         if kind == _SENT:
-            arrays = taken(data, dtypes)
-            got.append([*arrays, np.full(len(arrays[0]), src, np.int64)])
+            arrays = taken(data[4:], dtypes)
+            first = int(np.frombuffer(data, "<u4", 1)[0])
+            got.append([*arrays, np.arange(first, first + len(arrays[0]), dtype="<u4"), np.full(len(arrays[0]), src, np.int64)])
         else:
             out.append((src, src, kind, data))
     return out, [np.concatenate(c) for c in zip(*got, strict=True)] if got else None
 
 
-def _count_holders(batches):
-    """Owners of shingles: to each sender the shingles that more than one set holds, and how many do."""
-    for _, part in by_key(batches, "pid"):
-        out, got = _owned(part, ["<u8", "<u4", "<u4"])
-        if got:
-            token, number, times, src = got
-            order = np.argsort(token, kind="stable")
-            token = token[order]
-            edge = np.flatnonzero(np.r_[True, token[1:] != token[:-1], True])
-            total = np.repeat(np.add.reduceat(times[order].astype(np.int64), edge[:-1]), np.diff(edge))
-            order, total = order[total > 1], total[total > 1]
-            out += _back(src[order], _SENT, [number[order], np.minimum(total, 0xFFFFFFFF).astype("<u4")])
-        for i in range(0, len(out), 200):
-            yield rows(out[i : i + 200])
+def _count_holders(whole: bool):
+    """Owners of shingles: to each sender the shingles that more than one set holds, and how many do (and the shingles)."""
 
+    def run(batches):
+        for _, part in by_key(batches, "pid"):
+            out, got = _owned(part, ["<u8", "<u2"])
+            if got:
+                token, times, number, src = got
+                order = np.argsort(token, kind="stable")
+                token = token[order]
+                edge = np.flatnonzero(np.r_[True, token[1:] != token[:-1], True])
+                total = np.repeat(np.add.reduceat(times[order].astype(np.int64), edge[:-1]), np.diff(edge))
+                shared = total > 1
+                order, total, token = order[shared], np.minimum(total[shared], 0xFFFFFFFF).astype("<u4"), token[shared]
+                out += _back(src[order], _SENT, [number[order], total, token] if whole else [number[order], total])
+            for i in range(0, len(out), 200):
+                yield rows(out[i : i + 200])
+
+    return run
 
-def _totals(part: pa.Table):
-    """A sender's (heads, numbers and rows of its items, holders by shingle's number)."""
-    head, (number, at) = _parts(part, _HEADS, _HEAD), _parts(part, _ITEMS, ["<u4", "<u4"])
+
+def _totals(part: pa.Table, whole: bool):
+    """A sender's (heads, numbers and rows of its items, holders and shingles by number)."""
+    head, (number,) = _parts(part, _HEADS, _HEAD), _parts(part, _ITEMS, ["<u4"])
+    at = np.repeat(np.arange(len(head[0])), head[7])
     total = np.ones(int(number.max()) + 1 if len(number) else 0, np.int64)
-    answers = _parts(part, _SENT, ["<u4", "<u4"])
+    token = np.zeros(len(total), np.uint64)
+    answers = _parts(part, _SENT, ["<u4", "<u4", "<u8"] if whole else ["<u4", "<u4"])
     if answers:
         total[answers[0]] = answers[1]
-    return head, number, at.astype(np.int64), total
+        if whole:
+            token[answers[0]] = answers[2]
+    return head, number, at, total, token
 
 
 def _choose(batches):
     """A sender's sets again: (doc_id, k1, k2, node, n, candidate) for each row."""
     for _, part in by_key(batches, "pid"):
-        (doc, has, k1, k2, a, b, n), number, at, total = _totals(part)
+        (doc, has, k1, k2, a, b, n, _), number, at, total, _ = _totals(part, False)
         shared = np.bincount(at[total[number] > 1], minlength=len(doc))
         # A partner has at least 0.8 n shingles, and its prefix an extra by its own size.
         need = np.maximum(1, np.ceil(EXTRA * LINK[0] / LINK[1] * n - 1e-9)).astype(np.int64)
@@ -202,20 +211,19 @@ def _choose(batches):
         yield pa.record_batch(columns, ["doc_id", "k1", "k2", "node", "n", "candidate"])
 
 
-_MEMBER = ["<u4", "<i8", "<i8", "<u4"]  # shingle's number, node, size
+_SET = ["<i8", "<i8", "<u4", "<u4"]  # node, size, groups that it is in
 
 
 def _rare_first(buckets: int):
     """A sender's sets with the counts of their shared shingles: the rarest make groups.
 
-    To the owner of a shingle goes the group's most central set, to the sender itself all members
-    (items) and the texts' keys (heads).
+    To the owner of a shingle goes the group's most central set, to the sender itself all sets (heads) with
+    the numbers of their groups (items).
     """
 
     def run(batches):
         for src, part in by_key(batches, "pid"):
-            (_, _, k1, _, a, b, size), number, at, total = _totals(part)
-            token = np.concatenate([np.frombuffer(d, "<u8") for d, k in zip(part.column("data").to_pylist(), part.column("kind").to_pylist(), strict=True) if k == _SHINGLES])
+            (_, _, k1, _, a, b, size, _), number, at, total, token = _totals(part, True)
             n = size.astype(np.int64)
             df = total[number]
             number, at, df = number[df > 1].astype(np.int64), at[df > 1], df[df > 1]
@@ -230,25 +238,35 @@ def _rare_first(buckets: int):
             central = (np.bincount(at, np.log2(df), minlength=len(n)) / np.maximum(n, 1)).astype("<f4")
             at, number = at[keep], number[keep]
             order = np.lexsort((b[at], a[at], -central[at], number))
-            at, number = at[order], number[order]
-            best = np.r_[True, number[1:] != number[:-1]]
+            best = np.r_[True, number[order][1:] != number[order][:-1]]
             members = np.diff(np.flatnonzero(np.r_[best, True])).astype("<u4")
-            at_best, said = at[best], token[number[best]]
-            out = [(p, int(src), _SENT, d) for p, d in dealt((said >> np.uint64(20)).astype(np.int64) % buckets, buckets, [said, number[best].astype("<u4"), members, a[at_best], b[at_best], central[at_best]])]
-            home = int(src) % buckets
-            out.append((home, int(src), _ITEMS, number.astype("<u4").tobytes() + a[at].tobytes() + b[at].tobytes() + size[at].astype("<u4").tobytes()))
-            out.append((home, int(src), _HEADS, k1[np.unique(at)].tobytes()))
+            at_best, said = at[order][best], token[number[order][best]]
+            # Groups are numbered in order of their owners, as shingles were before.
+            by_owner, cut = numbered((said >> np.uint64(20)).astype(np.int64) % buckets, buckets)
+            group = np.zeros(len(total), "<u4")
+            group[number[order][best][by_owner]] = np.arange(len(said))
+            entries = [x[by_owner] for x in (said, members, a[at_best], b[at_best], central[at_best])]
+            out = [(p, int(src), _SENT, np.array([x], "<u4").tobytes() + b"".join(e[x:y].tobytes() for e in entries)) for p, (x, y) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)) if y > x]
+            own = home(int(src), buckets)
+            used, of_set = np.unique(at, return_inverse=True)  # items are in order of their sets
+            out.append((own, int(src), _HEADS, b"".join(x.tobytes() for x in (a[used], b[used], size[used].astype("<u4"), np.bincount(of_set).astype("<u4")))))
+            out.append((own, int(src), _ITEMS, group[number].tobytes()))
+            out.append((own, int(src), _KEYS, k1[used].tobytes()))
             yield rows(out)
 
     return run
 
 
+#: Keys of the texts whose sets are in groups.
+_KEYS = 3
+
+
 def _pick_pivots(batches):
     """Owners of shingles: to each sender the most central set of all senders, the pivot of the group."""
     for _, part in by_key(batches, "pid"):
-        out, got = _owned(part, ["<u8", "<u4", "<u4", "<i8", "<i8", "<f4"])
+        out, got = _owned(part, ["<u8", "<u4", "<i8", "<i8", "<f4"])
         if got:
-            token, number, members, a, b, central, src = got
+            token, members, a, b, central, number, src = got
             order = np.lexsort((b, a, -central, token))
             token = token[order]
             edge = np.flatnonzero(np.r_[True, token[1:] != token[:-1], True])
@@ -264,15 +282,17 @@ def _pick_pivots(batches):
 def _regions(batches):
     """A sender's groups: (pivot, node, n) for each member, once for each sender."""
     for _, part in by_key(batches, "pid"):
-        items, pivots = _parts(part, _ITEMS, _MEMBER), _parts(part, _SENT, ["<u4", "<i8", "<i8"])
-        if not items or not pivots:
+        sets, items, pivots = _parts(part, _HEADS, _SET), _parts(part, _ITEMS, ["<u4"]), _parts(part, _SENT, ["<u4", "<i8", "<i8"])
+        if not sets or not pivots:
             continue
-        number, a, b, size = items
-        place = np.full(int(max(number.max(), pivots[0].max())) + 1, -1, np.int64)
+        a, b, size, groups = sets
+        of_set = np.repeat(np.arange(len(a)), groups)
+        place = np.full(int(max(items[0].max(), pivots[0].max())) + 1, -1, np.int64)
         place[pivots[0]] = np.arange(len(pivots[0]))
-        at = place[number]
+        at = place[items[0]]
+        of_set, at = of_set[at >= 0], at[at >= 0]
         # Equal sets sent by several tasks are one node.
-        rows_of = np.stack([pivots[1][at], pivots[2][at], a, b, size.astype(np.int64)], axis=1)[at >= 0]
+        rows_of = np.stack([pivots[1][at], pivots[2][at], a[of_set], b[of_set], size[of_set].astype(np.int64)], axis=1)
         rows_of = rows_of[(rows_of[:, 0] != rows_of[:, 2]) | (rows_of[:, 1] != rows_of[:, 3])]
         if len(rows_of):
             rows_of = rows_of[np.lexsort(rows_of.T[::-1])]
@@ -509,7 +529,7 @@ def shingle_nodes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
     texts = docs.select(F.col(id_col).cast("long").alias("id"), *text_key(text), text.alias("text"))
     buckets = 2 * partitions(docs.sparkSession)
     sent = texts.mapInArrow(tidy(_send_prefixes(buckets, False, None)), SCHEMA)
-    counted = deal(sent).mapInArrow(tidy(_count_holders), SCHEMA)
+    counted = deal(sent).mapInArrow(tidy(_count_holders(False)), SCHEMA)
     chosen = deal(counted).mapInArrow(tidy(_choose), "doc_id long, k1 long, k2 long, node binary, n long, candidate boolean")
     return materialize(chosen, "jaccard-rows"), texts
 
@@ -519,15 +539,15 @@ def _regions_of(texts: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFram
     context, buckets = texts.sparkSession.sparkContext, 2 * partitions(texts.sparkSession)
     some = context.broadcast(membership_filter(nodes.where("candidate"), "k1"))  # 2 MB
     sent = texts.mapInArrow(tidy(_send_prefixes(buckets, True, some)), SCHEMA)
-    counted = deal(sent).mapInArrow(tidy(_count_holders), SCHEMA)
+    counted = deal(sent).mapInArrow(tidy(_count_holders(True)), SCHEMA)
     grouped = materialize(deal(counted).mapInArrow(tidy(_rare_first(buckets)), SCHEMA), "jaccard-groups")
 
     def keys(batches):
         for batch in batches:
             yield pa.record_batch([pa.array(np.frombuffer(b"".join(batch.column("data").to_pylist()), "<i8"))], ["k1"])
 
-    fewer = context.broadcast(membership_filter(grouped.where(F.col("kind") == _HEADS).mapInArrow(tidy(keys), "k1 long"), "k1"))
-    picked = deal(grouped.where(F.col("kind") != _HEADS)).mapInArrow(tidy(_pick_pivots), SCHEMA)
+    fewer = context.broadcast(membership_filter(grouped.where(F.col("kind") == _KEYS).mapInArrow(tidy(keys), "k1 long"), "k1"))
+    picked = deal(grouped.where(F.col("kind") != _KEYS)).mapInArrow(tidy(_pick_pivots), SCHEMA)
     pairs = deal(picked).mapInArrow(tidy(_regions), "pivot binary, node binary, n long").distinct()
     member = materialize(pairs.select(F.col("pivot").alias("cell"), "node", "n"), "jaccard-regions")
     whole = materialize(texts.mapInArrow(tidy(_whole_sets(fewer)), "node binary, shingles binary").dropDuplicates(["node"]), "jaccard-sets")
@@ -669,9 +689,8 @@ def keep_one_of_each(docs: DataFrame, text_col: str = "text", id_col: str = "doc
     """
     rows = materialize(_components(docs, text_col, id_col), "jaccard-components")
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")
-    # A component without ids is named by none of them: its nodes share the smallest node instead.
-    group = F.when(F.col("n") > 0, F.coalesce(F.col("component").cast("string"), F.concat(F.lit("n"), F.hex("root"))))
-    rows = rows.withColumn("group", group)
+    # By the component's node, not its id: ids may repeat, or be null.
+    rows = rows.withColumn("group", F.hex("root"))
     best = rows.where("n > 0").groupBy("group").agg(F.min(key).alias("best"), F.count("*").alias("rows"))
     total = best.agg(F.sum("rows")).head()[0]
     judged = spread_join(rows, best, "group", "rows", total, F.concat(F.lit("s"), F.hex("node"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))

@@ -55,6 +55,31 @@ FROM s LEFT JOIN r ON r.doc_id = s.doc_id GROUP BY s.doc_id, s.s
 """
 
 
+SUFFIX = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id, encode(coalesce(text, '')) AS b FROM documents
+), w AS (
+  SELECT k, i, b[i:i + 199] AS w FROM d, unnest(range(1, octet_length(b) - 198)) t(i)
+), r AS (
+  SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY w) AS n FROM w) WHERE n > 1
+), f AS (
+  SELECT k, i, CASE WHEN i - lag(i) OVER (PARTITION BY k ORDER BY i) <= 200 THEN 0 ELSE 1 END AS fresh FROM r
+), g AS (
+  SELECT k, i, sum(fresh) OVER (PARTITION BY k ORDER BY i) AS span FROM f
+), s AS (
+  SELECT k, min(i) AS a, max(i) + 199 AS z FROM g GROUP BY k, span
+), p AS (
+  SELECT k, a, z, coalesce(lag(z) OVER (PARTITION BY k ORDER BY a), 0) AS before FROM s
+), c AS (
+  SELECT k, sum(z - a + 1) AS n_removed, count(*) AS n_spans, string_agg(hex(b[before + 1:a - 1]), '' ORDER BY a) AS head, max(z) AS last
+  FROM p JOIN d USING (k) GROUP BY k
+)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(head, '') || hex(b[coalesce(last, 0) + 1:octet_length(b)]))) AS kept_sha256
+FROM d LEFT JOIN c USING (k)
+"""
+
+
 def _glob_regex(glob: str) -> str:
     special = {"*": ".*", "?": "."}
     return "".join(special.get(c) or ("\\" + c if c in ".-+()[]{}|^$\\/" and c not in "-/" else c) for c in glob)
@@ -81,4 +106,4 @@ FROM u
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": EXACT, "op3_jaccard_join": NEAR, "op4_url_filter": url_sql(), "op5_exact_topk": TOP_K}
+    return {"op1_exact_dedup": EXACT, "op2_suffix_dedup": SUFFIX, "op3_jaccard_join": NEAR, "op4_url_filter": url_sql(), "op5_exact_topk": TOP_K}

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_key, deal, fresh_names, gram_names, joined_names, materialize, partitions, text_key, text_of, tidy, views
-from .exchange import SCHEMA, dealt, may_hold, membership_filter, rows, source_number, taken
+from .exchange import SCHEMA, dealt, home, may_hold, membership_filter, rows, source_number, taken
 
 #: Bytes of a q-gram; windows hold length - GRAM + 1 of them.
 GRAM = 128
@@ -121,9 +121,9 @@ def _send_suffixes(length: int, buckets: int):
             new[1:] |= name[1:] != name[:-1]
             group = np.cumsum(new) - 1
             many = (np.bincount(group, minlength=1) > 1)[group] if len(group) else new
-            out = [(src % buckets, src, _TABLE, b"".join(np.concatenate(c).astype("<i8").tobytes() for c in zip(*table, strict=True)))]
+            out = [(home(src, buckets), src, _TABLE, b"".join(np.concatenate(c).astype("<i8").tobytes() for c in zip(*table, strict=True)))]
             if many.any():
-                out.append((src % buckets, src, _SETTLED, first[many].astype("<u4").tobytes() + more[many].astype("<u4").tobytes()))
+                out.append((home(src, buckets), src, _SETTLED, first[many].astype("<u4").tobytes() + more[many].astype("<u4").tobytes()))
             of_bucket = np.cumsum(bucket) - 1
             mixed = (np.bincount(of_bucket, new.astype(np.int64), 1) > 1)[of_bucket] if len(of_bucket) else new
             size = (more | np.where(many, _MULTI, 0)).astype("<u1")
@@ -286,9 +286,9 @@ def _send_windows(length: int, buckets: int):
             new = np.r_[True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])][: len(one)]
             group = np.cumsum(new) - 1
             many = (np.bincount(group, minlength=1) > 1)[group] if len(group) else new
-            out = [(src % buckets, src, _TABLE, b"".join(np.array(c, "<i8").tobytes() for c in zip(*table, strict=True)))]
+            out = [(home(src, buckets), src, _TABLE, b"".join(np.array(c, "<i8").tobytes() for c in zip(*table, strict=True)))]
             if many.any():
-                out.append((src % buckets, src, _SETTLED, spot[many].astype("<u4").tobytes()))
+                out.append((home(src, buckets), src, _SETTLED, spot[many].astype("<u4").tobytes()))
             one, two, spot = one[new], two[new], spot[new].astype("<u4")
             pid = ((one ^ two) >> np.uint64(20)).astype(np.int64) % buckets
             out += [(p, src, _BY_NAME, d) for p, d in dealt(pid, buckets, [one, two, spot])]

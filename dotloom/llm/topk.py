@@ -1,24 +1,28 @@
 """Exact inner-product search: a ball tree per shard, searched by branch and bound.
 
-Vectors become integers floor(scale * x). Rows are dealt into shards of bounded size; each shard
+Vectors become integers floor(scale * x). Rows go to the nearest of at most ``MAX_CELLS`` centres, a sample
+of the vectors; a cell with more rows than a shard takes is dealt by hash into several. Each shard
 task builds a ball tree and answers blocks of queries, always opening the node with the largest
 upper bound ``q.c + |q| r`` first and leaving a node once the bound is below the query's current
-k-th score. That score is shared: a first pass over each query block's home shard finds a score
-that k vectors reach, and all other shards start from it.
+k-th score. That score is shared in rounds: first a query meets one shard of the cell with the highest
+bound, then the shards of the next best cells, then all others; a query is sent to a cell only while
+the cell's ball may reach the k-th score that the rounds before have found.
 
 Nothing grows on one task: a shard meets query blocks one at a time, and k rows a query and shard
-come back.
+come back. The driver holds the centres, radii and counts of cells, whatever the number of rows.
 
 Defined results: vectors that are null, or hold null or non-finite components, take no part;
 vectors of another length than the query's are compared on no query (they take no part either:
 the length most rows have is the table's); ties go to the smaller id; a repeated id is a candidate
 for each of its rows, and a query for one row, the first by its vector; the query's own id is no
-candidate.
+candidate; components whose products don't fit 64 bits raise a ValueError; an empty base or no queries
+give no rows.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -78,7 +82,7 @@ class BallTree:
             return []
         q = query.astype(np.float64)
         norm = math.sqrt(float(q @ q))
-        bound = lambda n: float(q @ n[0]) + norm * n[1]
+        bound = lambda n: float(q @ n[0]) + norm * n[1] * (1 + 1e-9)
         best: list[tuple[int, int]] = []  # heap of (score, -id)
         todo = [(-bound(self.nodes[0]), 0)]
         while todo:
@@ -143,11 +147,108 @@ def _search(k: int, dim: int):
     return run
 
 
+#: Cells of the base; their centres and radii go to all tasks.
+MAX_CELLS = 1024
+#: Room for rounding in a cell's bound, as a part of |q| (|c| + r).
+_SLACK = 1e-9
+
+
+@dataclass(frozen=True)
+class Cells:
+    """Balls around centres: who is in which cell, and which shards a cell has."""
+
+    centres: np.ndarray
+    radii: np.ndarray
+    first_shard: np.ndarray  # and the end
+
+    def bounds(self, queries: np.ndarray) -> np.ndarray:
+        """The highest score that a vector of each cell can have with each query."""
+        norm = np.sqrt((queries**2).sum(axis=1))[:, None]
+        room = norm * (np.sqrt((self.centres**2).sum(axis=1)) + self.radii)[None, :] * _SLACK
+        return queries @ self.centres.T + norm * self.radii[None, :] + room + 1e-3
+
+
+def _nearest(centres: np.ndarray):
+    """(id, v, cell, away): the nearest centre and the distance to it."""
+
+    def run(batches):
+        square = (centres**2).sum(axis=1)
+        for batch in batches:
+            flat = batch.column("v").flatten().to_numpy().astype(np.float64).reshape(batch.num_rows, -1)
+            cell = (square[None, :] - 2 * flat @ centres.T).argmin(axis=1)
+            away = np.sqrt(((flat - centres[cell]) ** 2).sum(axis=1))
+            yield pa.record_batch([batch.column("id"), batch.column("v"), pa.array(cell.astype(np.int64)), pa.array(away)], ["id", "v", "cell", "away"])
+
+    return run
+
+
+def _send(cells: Cells, stage: int, best_cells: int):
+    """Packed query blocks for the shards of a round: the best cell's first shard (0), the next best cells (1), the rest (2)."""
+
+    def run(batches):
+        ends = cells.first_shard
+        for batch in batches:
+            for row in batch.to_pylist():
+                ids = np.frombuffer(row["ids"], np.int64)
+                vs = np.frombuffer(row["vs"], np.int64).reshape(len(ids), -1)
+                floors = np.frombuffer(row["floors"])
+                bounds = cells.bounds(vs.astype(np.float64))
+                rank = np.argsort(np.argsort(-bounds, axis=1, kind="stable"), axis=1)
+                wanted = rank == 0 if stage == 0 else (bounds >= floors[:, None]) & ((rank < best_cells) if stage == 1 else (rank >= best_cells))
+                out = []
+                for cell in np.flatnonzero(wanted.any(axis=0)).tolist():
+                    some = np.flatnonzero(wanted[:, cell])
+                    shards = np.arange(ends[cell], ends[cell + 1])
+                    at = ids[some] % len(shards)  # where a query of this cell starts
+                    for k, shard in enumerate(shards.tolist()):
+                        if stage == 0:
+                            mine = some[at == k]
+                        else:  # the first shard of the best cell has been searched
+                            mine = some[(rank[some, cell] > 0) | (at != k)]
+                        if len(mine):
+                            out.append((shard, row["block"], ids[mine].tobytes(), vs[mine].tobytes(), floors[mine].tobytes()))
+                            if len(out) == 16:
+                                yield _packed(out)
+                                out = []
+                if out:
+                    yield _packed(out)
+
+    return run
+
+
+def _packed(out: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+    return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["shard", "block", "ids", "vs", "floors"])
+
+
 def _best(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _cells(vectors: DataFrame, n: int, shard_rows: int) -> tuple[DataFrame, Cells]:
+    """The base with its shards, and its cells: the driver gets a bounded sample and a row for each cell."""
+    wanted = max(1, min(MAX_CELLS, -(-n // shard_rows)))
+    centres = np.array([r.v for r in vectors.orderBy(F.xxhash64("id", "v"), "id").limit(wanted).collect()], np.float64)
+    placed = materialize(vectors.mapInArrow(tidy(_nearest(centres)), "id long, v array<long>, cell long, away double"), "topk-cells")
+    held = {r.cell: r for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("away")).collect()}
+    shards = [-(-held[c].n // shard_rows) if c in held else 0 for c in range(len(centres))]
+    cells = Cells(centres, np.array([held[c].away * (1 + 1e-9) + 1e-6 if c in held else -np.inf for c in range(len(centres))]), np.r_[0, np.cumsum(shards)])
+    fine = np.array([c in held for c in range(len(centres))])
+    live = Cells(centres[fine], cells.radii[fine], np.r_[cells.first_shard[:-1][fine], cells.first_shard[-1]])
+    first, many = cells.first_shard, np.maximum(1, np.array(shards))
+
+    def dealt(batches):
+        for batch in batches:
+            cell = batch.column("cell").to_numpy()
+            shard = first[cell] + batch.column("h").to_numpy() % many[cell]
+            yield pa.record_batch([pa.array(shard), batch.column("id"), batch.column("v"), pa.array(np.full(len(cell), -np.inf))], ["shard", "id", "v", "floor"])
+
+    # The vector counts, too, so that rows that repeat one id are spread.
+    hashed = placed.select("cell", F.xxhash64("id", "v").alias("h"), "id", "v")
+    return hashed.mapInArrow(tidy(dealt), "shard long, id long, v array<long>, floor double"), live
+
+
 def top_k(base: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 1024, shard_rows: int = 8192, block_rows: int = 256) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k highest integer inner products over ``base``."""
     spark = base.sparkSession
@@ -158,38 +259,36 @@ def top_k(base: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_i
         return df.where(F.coalesce(fine, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), F.transform(x, lambda e: F.floor(e.cast("double") * scale)).alias("v"))
 
     vectors = materialize(ready(base), "topk-base")
-    found = vectors.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").head()
+    found = vectors.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("count"), F.max(F.array_max("v")).alias("high"), F.min(F.array_min("v")).alias("low")).orderBy(F.desc("count"), "n").head()
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    if found is None:
+    if found is None or found["n"] == 0:
         return empty
     dim = found["n"]
-    if dim == 0:
+    asked = materialize(ready(queries).where(F.size("v") == dim).groupBy("id").agg(F.min("v").alias("v")), "topk-asked")
+    size = asked.agg(F.count("*").alias("n"), F.max(F.array_max("v")).alias("high"), F.min(F.array_min("v")).alias("low")).head()
+    if not size["n"]:
         return empty
-    vectors = vectors.where(F.size("v") == dim)
-    asked = ready(queries).where(F.size("v") == dim).groupBy("id").agg(F.min("v").alias("v"))
-    shards = max(1, -(-found["count"] // shard_rows))
-    number = lambda n, *c: F.pmod(F.xxhash64(*c), F.lit(n))
-    none = F.lit(float("-inf")).alias("floor")
-    # Salting by the vector too spreads rows that repeat one id.
-    packed = materialize(_pack(vectors.select(number(shards, F.col("id"), F.col("v")).alias("shard"), "id", "v", none), "shard"), "topk-shards")
-    n_blocks = max(1, -(-asked.count() // block_rows))
-    asked = materialize(asked.select("id", "v", number(n_blocks, F.col("id"), F.lit(1)).alias("block")), "topk-queries")
-    shard_rows_df = packed.select("shard", F.lit(-1).cast("long").alias("block"), "ids", "vs", "floors")
-
-    def searched(blocks, where):
-        each = blocks.select(F.explode(where).alias("shard"), "block", "ids", "vs", "floors")
-        return deal(shard_rows_df.unionByName(each), "shard").mapInArrow(tidy(_search(k, dim)), "query_id long, vec_id long, score long")
-
-    home = F.pmod(F.col("block"), F.lit(shards))
-    blocks = _pack(asked.select("block", "id", "v", none), "block")
-    first = materialize(_best(searched(blocks, F.array(home)), k), "topk-first")
-    if shards == 1:
-        return first.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
-    # The k-th score of the home shard is reached by k vectors: a sound floor everywhere.
-    floors = first.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").cast("double").alias("floor"))
-    known = asked.join(floors, "id", "left").select("block", "id", "v", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"))
-    blocks = _pack(known, "block")
-    others = F.filter(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")), lambda s: s != home)
-    rest = searched(blocks, others)
-    both = first.select("query_id", "vec_id", "score").unionByName(rest)
-    return _best(both, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    if max(found["high"], -found["low"]) * max(size["high"], -size["low"]) * dim >= 1 << 62:
+        raise ValueError("inner products of these vectors don't fit 64 bits")
+    packed, cells = _cells(vectors.where(F.size("v") == dim), found["count"], shard_rows)
+    base_shards = materialize(_pack(packed, "shard"), "topk-shards").select("shard", F.lit(-1).cast("long").alias("block"), "ids", "vs", "floors")
+    # Queries near each other are one block, so that a block meets few cells.
+    n_blocks = max(1, -(-size["n"] // block_rows))
+    placed = asked.mapInArrow(tidy(_nearest(cells.centres)), "id long, v array<long>, cell long, away double")
+    around = Window.partitionBy(F.pmod(F.xxhash64("id"), F.lit(max(1, n_blocks // 64)))).orderBy("cell", "id")
+    number = F.floor((F.row_number().over(around) - 1) / block_rows) + F.pmod(F.xxhash64("id"), F.lit(max(1, n_blocks // 64))) * (1 << 32)
+    asked = materialize(placed.select("id", "v", number.cast("long").alias("block")), "topk-queries")
+    best: DataFrame | None = None
+    for stage in (0, 1, 2):
+        known = asked
+        if best is not None:  # k vectors reach the k-th score so far: a sound floor everywhere
+            reached = best.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").cast("double").alias("floor"))
+            known = asked.join(reached, "id", "left")
+        known = known.select("block", "id", "v", F.coalesce(F.col("floor"), F.lit(float("-inf"))).alias("floor") if best is not None else F.lit(float("-inf")).alias("floor"))
+        sent = _pack(known, "block").mapInArrow(tidy(_send(cells, stage, max(2, len(cells.radii) // 8))), "shard long, block long, ids binary, vs binary, floors binary")
+        got = deal(base_shards.unionByName(sent), "shard").mapInArrow(tidy(_search(k, dim)), "query_id long, vec_id long, score long")
+        best = _best(got if best is None else best.select("query_id", "vec_id", "score").unionByName(got), k).select("query_id", "rank", "vec_id", "score")
+        if cells.first_shard[-1] == 1 or stage == 2:
+            break
+        best = materialize(best, f"topk-round{stage}")
+    return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -5,8 +5,10 @@ A text's features are its distinct words, word pairs and pairs with one word bet
 rate for each coordinate and L1, so that few weights are not zero; those few, as (slot, weight)
 arrays bounded by the slots, go to all executors. Scoring reads every whole text once.
 
-The model is fitted on a bounded sample: of the labelled rows allowed for training, the
-``max_train_rows`` with the smallest hash of their id. Scores never use labels, lang, source or id.
+The model is fitted on a bounded sample: of the labelled ids allowed for training, the
+``max_train_rows`` with the smallest hash, one text each (of several the one with the smallest digest), and of
+a text's distinct features the ``max_row_slots`` with the smallest hash. Scores take whole texts, and never use
+labels, lang, source or id.
 
 Defined results: null is the empty text, whose score is the intercept's; a document without a label
 is scored like any other; a document with labels that disagree counts as toxic; repeated rows get a
@@ -107,7 +109,7 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 4 == 2, F.lit(True))
 
 
-def _features(bits: int):
+def _features(bits: int, most: int):
     def run(batches):
         for batch in batches:
             for first, offs, data in views(text_of(batch.column("text"))):
@@ -115,25 +117,25 @@ def _features(bits: int):
                 pairs = np.unique(row << bits | slot)
                 cuts = np.searchsorted(pairs >> bits, np.arange(len(offs)))
                 slots = (pairs & ((1 << bits) - 1)).astype(np.int32)
-                packed = [slots[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                packed = [slots[a : min(b, a + most)].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
                 part = batch.slice(first, len(offs) - 1)
                 yield pa.record_batch([part.column("order"), part.column("id"), part.column("label"), pa.array(packed, pa.binary())], ["order", "id", "label", "slots"])
 
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", max_train_rows: int = 8_000, bits: int = 20, **ftrl) -> Model:
+def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", max_train_rows: int = 8_000, bits: int = 20, max_row_slots: int = 16_384, **ftrl) -> Model:
     """Fit on the sample described above; its features, not its texts, come to the driver."""
     allowed = labels.where(F.col(label_col).isNotNull() & ~held_out(F.col(id_col)))
     allowed = allowed.groupBy(F.col(id_col).cast("long").alias("__id")).agg(F.max(label_col).cast("int").alias("__label"))
     order = F.xxhash64("__id")
     sample = allowed.withColumn("__order", order).orderBy("__order", "__id").limit(max_train_rows)
-    known = docs.select(F.col(id_col).cast("long").alias("__doc"), F.col(text_col).alias("__text"))
+    known = docs.select(F.col(id_col).cast("long").alias("__doc"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     both = known.join(F.broadcast(sample), known["__doc"] == sample["__id"])  # at most max_train_rows small rows
-    rows = both.select(F.col("__order").alias("order"), F.col("__id").alias("id"), F.col("__label").alias("label"), F.col("__text").alias("text"))
-    got = rows.mapInArrow(tidy(_features(bits)), "order long, id long, label int, slots binary").collect()
-    # Fixed order: by hash, then by content for rows that repeat an id.
-    examples = [(int(r.label != 0), np.frombuffer(r.slots, np.int32)) for r in sorted(got, key=lambda r: (r.order, r.id, bytes(r.slots)))]
+    # Tasks combine the texts of an id that repeats, so no task holds all of them.
+    one = both.groupBy(F.col("__id").alias("id")).agg(F.min("__order").alias("order"), F.min("__label").alias("label"), F.min_by("__text", F.md5("__text")).alias("text"))
+    got = one.select("order", "id", "label", "text").mapInArrow(tidy(_features(bits, max_row_slots)), "order long, id long, label int, slots binary").collect()
+    examples = [(int(r.label != 0), np.frombuffer(r.slots, np.int32)) for r in sorted(got, key=lambda r: (r.order, r.id))]
     return fit_ftrl(examples, bits, **ftrl)
 
 

@@ -1,6 +1,8 @@
 """The operators on small and odd tables against brute force."""
 
 import hashlib
+import math
+import os
 import random
 import re
 import zlib
@@ -10,7 +12,22 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from dotloom.llm import common, components, exact_dedup, jaccard, licenses, packing, suffix_dedup, tokens, topk, toxicity, url_filter, words
+from dotloom.llm import (
+    common,
+    components,
+    exact_dedup,
+    jaccard,
+    licenses,
+    packing,
+    queries,
+    sql,
+    suffix_dedup,
+    tokens,
+    topk,
+    toxicity,
+    url_filter,
+    words,
+)
 
 SF = "/root/testdata/sf0.001"
 #: Columns that clash with names that the operators use inside.
@@ -411,7 +428,30 @@ def test_topk(spark):
     for shard_rows in (60, 10_000):
         same(topk.top_k(df, asked, shard_rows=shard_rows, block_rows=2), truth)
     assert topk.top_k(df.limit(0), asked.limit(0)).isEmpty()
+    assert topk.top_k(df.limit(0), asked).isEmpty() and topk.top_k(df, asked.limit(0)).isEmpty()
     assert topk.top_k(df.where("vec_id < 3"), df.where("vec_id = 0")).count() == 2
+    clash = df.withColumns({c: F.lit("z") for c in ("id", "v", "shard", "block", "floor", "score", "rank", "cell", "query_id")})
+    same(topk.top_k(clash, clash.where("vec_id % 100 = 0"), shard_rows=60), truth)
+    with pytest.raises(ValueError):
+        topk.top_k(spark.createDataFrame([(0, [1e18, 1.0]), (1, [1e18, 2.0])], "vec_id long, embedding array<double>"), spark.createDataFrame([(0, [1e18, 1.0])], "vec_id long, embedding array<double>")).collect()
+
+
+def test_cells_prune_what_lies_apart(spark):
+    rng = np.random.default_rng(9)
+    groups = rng.normal(size=(12, 16)) * 4
+    vectors = np.concatenate([g + rng.normal(size=(60, 16)) * 0.05 for g in groups])
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    ints = np.floor(1024 * vectors).astype(np.int64)
+    truth = []
+    for q in range(0, len(ints), 100):
+        best = sorted((-int(ints[q] @ v), i) for i, v in enumerate(ints) if i != q)[:10]
+        truth += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    same(topk.top_k(df, df.where("vec_id % 100 = 0"), shard_rows=40), truth)
+    placed, cells = topk._cells(df.select(F.col("vec_id").alias("id"), F.transform("embedding", lambda e: F.floor(e * 1024)).alias("v")), len(ints), 60)
+    queries = ints[::100].astype(np.float64)
+    kth = np.array([-sorted(-(ints @ q))[9] for q in ints[::100]])
+    assert placed.count() == len(ints)
+    assert (cells.bounds(queries) >= kth[:, None]).mean() < 0.7  # pairs of a query and a cell that must be searched
 
 
 # -- toxicity
@@ -436,6 +476,70 @@ def test_toxicity(spark, documents, odd, empty):
     assert toxicity.fit_ftrl([(1, np.array([1]))] * 3).intercept > 5
 
 
+def plain_ftrl(docs, labels, bits, alpha=1.0, beta=1.0, l1=6.0, l2=0.1, passes=4, least=3, rows=8000, row_slots=16_384):
+    """The same model with plain loops: (intercept, weight by slot)."""
+    mask = (1 << 64) - 1
+
+    def join(h, x):
+        h = h * 0x9FB21C651E98DF25 & mask
+        h ^= h >> 35
+        h = (h + x) * 0xD6E8FEB86659FD93 & mask
+        return h ^ h >> 32
+
+    def mix(h):
+        h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & mask
+        h = (h ^ h >> 27) * 0x94D049BB133111EB & mask
+        return h ^ h >> 31
+
+    def word(w):
+        h = len(w)
+        for i in range(0, len(w), 8):
+            h = join(h, int.from_bytes(w[i : i + 8], "little"))
+        return mix(h)
+
+    def slots(text):
+        raw = bytes(b + 32 if 65 <= b <= 90 else b for b in (text or "").encode())
+        words_ = [word(w) for w in re.findall(rb"[0-9a-z\x80-\xff]+", raw)]
+        a, b, c = 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3
+        grams = words_ + [mix(x * a + y * c & mask) for x, y in zip(words_, words_[1:], strict=False)] + [mix(x * b + y * c & mask) for x, y in zip(words_, words_[2:], strict=False)]
+        return sorted({g >> 64 - bits for g in grams})[:row_slots]
+
+    examples = [(y, slots(docs[i])) for i, y in labels][:rows]
+    count = Counter(s for _, x in examples for s in x)
+    z, n, bz, bn = defaultdict(float), defaultdict(float), 0.0, 0.0
+    weight = lambda s: 0.0 if abs(z[s]) <= l1 else -(z[s] - math.copysign(l1, z[s])) / ((beta + math.sqrt(n[s])) / alpha + l2)
+    for _ in range(passes):
+        for y, x in examples:
+            x = [s for s in x if count[s] >= least]
+            w = [weight(s) for s in x]
+            b = -bz / ((beta + math.sqrt(bn)) / alpha)
+            g = 1 / (1 + math.exp(-min(30.0, max(-30.0, sum(w) + b)))) - y
+            for s, v in zip(x, w, strict=True):
+                z[s] += g - (math.sqrt(n[s] + g * g) - math.sqrt(n[s])) / alpha * v
+                n[s] += g * g
+            bz += g - (math.sqrt(bn + g * g) - math.sqrt(bn)) / alpha * b
+            bn += g * g
+    return -bz / ((beta + math.sqrt(bn)) / alpha), {s: weight(s) for s in list(z) if weight(s)}
+
+
+def test_toxicity_equals_plain_ftrl(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels)  # production settings
+    texts = dict(pairs(docs))
+    allowed = labels.where("toxic is not null").select("doc_id", "toxic", F.xxhash64(F.col("doc_id").cast("long")).alias("h")).collect()
+    known = sorted((r.h, r.doc_id, r.toxic) for r in allowed if zlib.crc32(str(r.doc_id).encode()) % 4 != 2 and r.doc_id in texts)
+    intercept, weights = plain_ftrl(texts, [(d, int(y != 0)) for _, d, y in known], model.bits)
+    assert abs(model.intercept - intercept) < 1e-6
+    got = dict(zip(model.slots.tolist(), model.weights.tolist(), strict=True))
+    for s in set(got) | set(weights):
+        assert abs(got.get(s, 0) - weights.get(s, 0)) < 1e-4
+    assert weights
+    # Ids that repeat, texts that are null or long: one row an id, a bounded number of features.
+    df = spark.createDataFrame([(1, "bad word"), (1, "a"), (3, None), (4, " ".join(f"w{i}" for i in range(9000)))], "doc_id long, text string")
+    some = spark.createDataFrame([(1, 1), (3, 0), (4, 0)], "doc_id long, toxic int")
+    assert toxicity.train(df, some, max_row_slots=100, l1=0.0, least_rows=1).weights.size <= 102
+
+
 # -- licences
 
 
@@ -603,6 +707,9 @@ def test_section_counts(spark, odd, empty, documents, library):
             truth += [(d, "run" if size else "line", k, x, y, c) for k, (x, y, c) in enumerate(zip(cuts, ends, n, strict=True))]
         same(tokens.section_token_counts(df, **options), truth)
     assert tokens.section_token_counts(empty).isEmpty()
+    wide = odd.withColumns({c: F.lit("z") for c in ("section", "start", "end", "n_tokens", "kind", "piece", "length", "chunk", "nth", "number", "ids")})
+    for make in (tokens.section_token_counts, tokens.token_digests, tokens.encode, packing.pack_documents, licenses.scan_passages):
+        assert rows(make(wide).drop("sequence_id", "offset")) == rows(make(odd.select("doc_id", "text")).drop("sequence_id", "offset"))
     with pytest.raises(ValueError):
         tokens.section_token_counts(odd, rule="other")
 
@@ -678,9 +785,70 @@ def test_packing(spark, odd, empty, documents, library):
     assert packing.pack_documents(empty).isEmpty()
 
 
+# -- queries as registered
+
+SQL_DIR = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(sql.oracle_sql()))
+def test_query_equals_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for f in os.listdir(SQL_DIR):
+        con.sql(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{SQL_DIR}/{f}'")
+    got = queries.queries()[name](spark, SQL_DIR)
+    truth = con.sql(sql.oracle_sql()[name])
+    order = sorted(truth.columns)
+    assert sorted(got.columns) == order
+    assert rows(got.select(*order)) == sorted(map(repr, truth.select(*[f'"{c}"' for c in order]).fetchall()))
+
+
+def test_other_queries_equal_brute_force(spark, library):
+    docs = pairs(spark.read.parquet(f"{SQL_DIR}/documents.parquet"))
+    named = queries.queries()
+    same(named["op2_suffix_dedup"](spark, SQL_DIR), brute_suffix(docs))
+    encoded = {d: library.encode(t or "", add_special_tokens=False) for d, t in docs}
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    same(named["op9_bpe_transducer"](spark, SQL_DIR), [(d, len(e.ids), sha(" ".join(map(str, e.ids))), sha(library.decode(e.ids, skip_special_tokens=False))) for d, e in encoded.items()])
+    counts = defaultdict(int)
+    sections = 0
+    for r in named["op10_token_counts"](spark, SQL_DIR).collect():
+        counts[r.doc_id, r.kind] += r.n_tokens
+        sections += r.kind == "run"
+    assert dict(counts) == {(d, k): len(e.ids) for d, e in encoded.items() for k in ("line", "run")} and sections > len(docs)
+    packed = named["op8_best_fit_packing"](spark, SQL_DIR).collect()
+    assert sum(r.length for r in packed) == sum(len(e.ids) + 1 for e in encoded.values())
+    lengths = [min(4096, n - a) for n in (len(e.ids) + 1 for e in encoded.values()) for a in range(0, n, 4096)]
+    assert len({r.sequence_id for r in packed}) == len(best_fit(lengths, 4096))
+    tox = {r.doc_id: r for r in named["op6_toxicity"](spark, SQL_DIR).collect()}
+    assert set(tox) == {d for d, _ in docs} and all(r.predicted == int(r.score >= 0.3) and 0 <= r.score <= 1 for r in tox.values())
+    assert named["op7_license_scan"](spark, SQL_DIR).count() == len(docs)
+
+
 # -- pipeline and helpers
 
 
+def test_pipeline_on_odd_and_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    base = [(d, t, lang, "s", n) for d, t, lang, _, n, *_ in odd_rows()]
+    base += [(600, "kept twice", "en", "s", 10), (600, "another text", "en", "s", 12), (601, "kept twice", "en", "s", 10)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for name, data in (("odd", base), ("empty", [])):
+        folder = str(tmp_path / name)
+        spark.createDataFrame(data, schema).repartition(3).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(1, 0, 0)] if data else [], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        packed = corpus_pipeline.run(spark, folder).collect()
+        if not data:
+            assert packed == []
+            continue
+        docs = Counter(r.doc_id for r in packed if r.piece == 0)
+        # Both texts of id 600 stay, and nothing of 601; of null and empty texts the first.
+        assert docs[600] == 2 and 601 not in docs and docs[0] == 1 and 17 not in docs and docs[None] == 1
+
+
+
 def test_pipeline_stages(spark, documents):
     import corpus_pipeline
 
