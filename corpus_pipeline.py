@@ -1,11 +1,17 @@
-"""A training-corpus pipeline over documents: each stage works on what the one before it kept."""
+"""A training-corpus pipeline over documents: each stage works on what the one before it kept.
+
+Defined results: a null or empty text is scored and packed like any other (it is the end token alone); of rows
+equal up to white space, null and empty texts among them, one stays, also if ids repeat, and other texts of a
+repeated id stay; rows with a null id are kept like others; an empty table gives no rows. Columns beyond
+those of documents don't pass the first stage.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dotloom.llm.common import materialize, table
+from dotloom.llm.common import drop_materialized, materialize, scratch, table
 from dotloom.llm.exact_dedup import drop_exact_copies
 from dotloom.llm.jaccard import keep_one_of_each
 from dotloom.llm.packing import pack_documents
@@ -21,12 +27,12 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts equal up to white space, the row with the smallest doc_id stays."""
+    """Of texts equal up to white space, one row stays: that with the smallest doc_id."""
     return drop_exact_copies(docs).select(*COLUMNS)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by similar shingles, the row with the smallest doc_id stays."""
+    """Of documents linked by similar shingles, one row stays: that with the smallest doc_id."""
     return keep_one_of_each(docs).select(*COLUMNS)
 
 
@@ -53,8 +59,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order; each result is written and read again."""
+    """All stages in order; each result is written and read again, and what it was made from is deleted."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    for number, (name, stage) in enumerate(STAGES[:-1]):
+        with scratch(spark):
+            kept = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if number:
+            drop_materialized(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
