@@ -111,3 +111,30 @@ def decode_lens(keys: DataFrame, column: str = "key") -> DataFrame:
 
 def is_clock_key(key: Column, set_name: Column, actor: Column) -> Column:
     return key == nul_key("clock", set_name, None, actor)
+
+
+#: The two layouts behind one interface.
+LAYOUTS = {"nul": (nul_key, decode_nul), "lens": (lens_key, decode_lens)}
+
+
+def maker(layout: str):
+    """The key builder of a layout."""
+    if layout not in LAYOUTS:
+        raise ValueError(f"layout must be one of {sorted(LAYOUTS)}")
+    return LAYOUTS[layout][0]
+
+
+def decode(keys: DataFrame, layout: str, column: str = "key") -> DataFrame:
+    """Keys of a layout with kind, set_name, element, actor, cnt."""
+    maker(layout)
+    return LAYOUTS[layout][1](keys, column)
+
+
+def to_term(*columns: Column) -> Column:
+    """Any columns as bytes: JSON of a struct."""
+    return F.to_json(F.struct(*columns)).cast("binary")
+
+
+def from_term(term: Column, schema: str) -> Column:
+    """The struct again; null if the bytes are none."""
+    return F.from_json(term.cast("string"), schema)

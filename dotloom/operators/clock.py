@@ -1,7 +1,9 @@
 """Clock algebra. A clock is a set of dots (keys..., actor, cnt), or packed as base and cloud.
 
-``keys`` names the columns that tell clocks apart (a set, a replica). Packed clocks have one row
-per (keys, actor): base is the end of the run 1, 2, 3, ..., cloud the sorted dots beyond a gap.
+``keys`` names the columns that tell clocks apart (a set, a replica). Clocks of any size are rows of
+runs (keys, actor, low, high) of neighbouring counters, made in spans of counters, so that no task holds
+an actor. Packed clocks have one row per (keys, actor): base is the end of the run 1, 2, 3, ...,
+cloud the sorted dots beyond a gap, an array; they are for clocks whose clouds are small.
 """
 
 from __future__ import annotations
@@ -38,16 +40,49 @@ def unseen(dots: DataFrame, clock: DataFrame, on: list[str]) -> DataFrame:
     return dots.join(clock.select(on), on, "left_anti")
 
 
-def compress(clock: DataFrame, keys: list[str]) -> DataFrame:
-    """Packed form: (keys, actor, base, cloud). Gaps and islands: cnt equals its rank only in the first run."""
-    dots = clock.select(*keys, "actor", "cnt").distinct()
-    rank = F.row_number().over(Window.partitionBy(*keys, "actor").orderBy("cnt"))
-    ranked = dots.withColumn("k", rank.cast("long"))
-    gapped = F.when(F.col("cnt") != F.col("k"), F.col("cnt"))
-    return ranked.groupBy(*keys, "actor").agg(
-        F.coalesce(F.max(F.when(F.col("cnt") == F.col("k"), F.col("cnt"))), F.lit(0)).cast("long").alias("base"),
-        F.array_sort(F.collect_list(gapped)).alias("cloud"),
-    )
+#: Counters that one task puts in order.
+SPAN = 1 << 16
+
+
+def runs(clock: DataFrame, keys: list[str], span: int = SPAN) -> DataFrame:
+    """(keys, actor, low, high): the runs of neighbouring counters.
+
+    Counters less their rank are the same along a run, inside a span. Only runs that touch the end of a
+    span, two a span at most, are looked at again to be joined with their neighbours.
+    """
+    dots = clock.select(*keys, "actor", "cnt").distinct().withColumn("span", F.floor(F.col("cnt") / span))
+    rank = F.row_number().over(Window.partitionBy(*keys, "actor", "span").orderBy("cnt"))
+    inner = dots.withColumn("run", F.col("cnt") - rank).groupBy(*keys, "actor", "span", "run").agg(F.min("cnt").alias("low"), F.max("cnt").alias("high"))
+    touches = (F.col("low") == F.col("span") * span) | (F.col("high") == (F.col("span") + 1) * span - 1)
+    order = Window.partitionBy(*keys, "actor").orderBy("low")
+    fresh = F.when(F.col("low") == F.lag("high").over(order) + 1, 0).otherwise(1)
+    edge = inner.where(touches).withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(order))
+    joined = edge.groupBy(*keys, "actor", "run").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    return inner.where(~touches).select(*keys, "actor", "low", "high").unionByName(joined.select(*keys, "actor", "low", "high"))
+
+
+def bases(clock: DataFrame, keys: list[str], span: int = SPAN) -> DataFrame:
+    """(keys, actor, base): how far each actor's counters have no gap; 0 if the first is missing."""
+    return runs(clock, keys, span).groupBy(*keys, "actor").agg(F.coalesce(F.max(F.when(F.col("low") == 1, F.col("high"))), F.lit(0)).cast("long").alias("base"))
+
+
+def compress(clock: DataFrame, keys: list[str], span: int = SPAN) -> DataFrame:
+    """Packed form: (keys, actor, base, cloud)."""
+    beyond = F.collect_list(F.when(F.col("low") != 1, F.struct("low", "high")))
+    parts = runs(clock, keys, span).groupBy(*keys, "actor").agg(F.max(F.when(F.col("low") == 1, F.col("high"))).alias("base"), F.array_sort(beyond).alias("gaps"))
+    cloud = F.flatten(F.transform("gaps", lambda r: F.sequence(r["low"], r["high"])))
+    return parts.select(*keys, "actor", F.coalesce("base", F.lit(0)).cast("long").alias("base"), cloud.alias("cloud"))
+
+
+def from_vv(vector: DataFrame, keys: list[str], column: str = "vv") -> DataFrame:
+    """The packed clock of a version vector, a map actor -> counter: no gaps."""
+    each = vector.select(*keys, F.explode(column).alias("actor", "base"))
+    return each.select(*keys, "actor", F.col("base").cast("long").alias("base"), F.array().cast("array<bigint>").alias("cloud"))
+
+
+def add_dots(clock: DataFrame, dots: DataFrame) -> DataFrame:
+    """The clock with more dots, which may close gaps when it is packed."""
+    return merge(clock, dots.select(clock.columns))
 
 
 def expand(packed: DataFrame) -> DataFrame:
@@ -67,7 +102,7 @@ def contiguous_seen(cnt: Column, base: Column) -> Column:
 
 
 def contiguous_counter(packed: DataFrame, actor: str) -> DataFrame:
-    """Base of ``actor`` in each clock; evaluating it raises for a clock without the actor."""
+    """Base of ``actor`` in each clock (packed, or bases); evaluating it raises for a clock without the actor."""
     keys = [c for c in packed.columns if c not in ("actor", "base", "cloud")]
     own = packed.groupBy(*keys).agg(F.max(F.when(F.col("actor") == actor, F.col("base"))).alias("base"))
     missing = F.raise_error(F.lit(f"no counter for actor {actor}")).cast("long")
@@ -76,10 +111,16 @@ def contiguous_counter(packed: DataFrame, actor: str) -> DataFrame:
 
 def get_dot(packed: DataFrame, keys: DataFrame, actor: str) -> DataFrame:
     """(keys, actor, cnt): the last contiguous dot, 0 if the actor is unknown."""
-    own = packed.where(F.col("actor") == actor).drop("actor", "cloud")
+    own = packed.where(F.col("actor") == actor).select(*keys.columns, "base")
     return keys.join(own, keys.columns, "left").select(*keys.columns, F.lit(actor).alias("actor"), F.coalesce("base", F.lit(0)).cast("long").alias("cnt"))
 
 
+def point_get(packed: DataFrame, asked: DataFrame) -> DataFrame:
+    """(asked's columns, fresh, base, cloud) of single clocks or tombstones: a missing one is fresh, that is empty."""
+    got = asked.distinct().join(packed.withColumn("__there", F.lit(True)), asked.columns, "left")
+    return got.select(*asked.columns, F.col("__there").isNull().alias("fresh"), F.coalesce("base", F.lit(0)).cast("long").alias("base"), F.coalesce("cloud", F.array().cast("array<bigint>")).alias("cloud"))
+
+
 def actors(clock: DataFrame, keys: list[str]) -> DataFrame:
     return clock.select(*keys, "actor").distinct()
 
@@ -93,3 +134,18 @@ def compare(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     x, y = F.col("only_a") > 0, F.col("only_b") > 0
     relation = F.when(x & y, "concurrent").when(x, "dominates").when(y, "dominated").otherwise("equal")
     return out.withColumn("relation", relation)
+
+
+def wide_compare(wide: DataFrame, pairs: dict[tuple[int, int], tuple[Column, Column]]) -> DataFrame:
+    """(set_name, a, b, only_a, only_b, relation) for each pair of clocks, given as flags on a wide log: one aggregate.
+
+    A set that neither clock of a pair has is in no row.
+    """
+    counts = []
+    for (a, b), (x, y) in pairs.items():
+        counts += [F.count(F.when(x & ~y, 1)).alias(f"a{a}{b}"), F.count(F.when(y & ~x, 1)).alias(f"b{a}{b}"), F.count(F.when(x | y, 1)).alias(f"n{a}{b}")]
+    each = wide.groupBy("set_name").agg(*counts)
+    one = lambda a, b: F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"a{a}{b}").alias("only_a"), F.col(f"b{a}{b}").alias("only_b"), F.col(f"n{a}{b}").alias("n"))
+    out = each.select("set_name", F.explode(F.array(*[one(a, b) for a, b in pairs])).alias("p")).select("set_name", "p.*").where("n > 0").drop("n")
+    x, y = F.col("only_a") > 0, F.col("only_b") > 0
+    return out.withColumn("relation", F.when(x & y, "concurrent").when(x, "dominates").when(y, "dominated").otherwise("equal"))

@@ -54,6 +54,21 @@ def hand_off(held: DataFrame, clock: DataFrame, sender: int, receiver: int, tomb
     )
 
 
+def hand_off_many(held: DataFrame, clock: DataFrame, senders: tuple[int, ...], receiver: int) -> Handoff:
+    """The receiver's state after handoffs of several senders, one after the other."""
+    out: Handoff | None = None
+    tag = lambda df, r: df.select(F.lit(r).alias("r"), *DOT)
+    for sender in senders:
+        if out is None:
+            out = hand_off(held, clock, sender, receiver)
+            continue
+        theirs = tag(_of(held, sender), sender), tag(_of(clock, sender), sender)
+        out = hand_off(theirs[0].unionByName(tag(out.held, receiver)), theirs[1].unionByName(tag(out.clock, receiver)), sender, receiver, tag(out.tombstone, receiver))
+    if out is None:
+        raise ValueError("no senders")
+    return out
+
+
 def wide_hand_off(wide: DataFrame, sender: int, receiver: int) -> Handoff:
     """The same on a wide log, from an empty tombstone: three filters."""
     if sender == receiver:

@@ -114,24 +114,45 @@ def contains_all(dots: DataFrame, members: DataFrame) -> DataFrame:
     return membership(dots, members).groupBy("set_name").agg(F.bool_and("is_member").alias("is_subset"))
 
 
-def numbered(elements: DataFrame, parts: int = 64) -> DataFrame:
-    """(set_name, element, position): elements' places from 1 in each set.
+#: Rows that one task numbers, and parts of a relation at most.
+PART_ROWS = 1 << 18
+MAX_PARTS = 4096
+_FAN = 64
+
+
+def _part_of(key: Column, splits: list) -> Column:
+    """How many split points are not above the key: every 64th first, then those behind the last of these."""
+    if not splits:
+        return F.lit(0)
+    points = F.array(*map(F.lit, splits))
+    reached = lambda some: F.size(F.filter(some, lambda x: x <= key))
+    if len(splits) <= _FAN:
+        return reached(points)
+    coarse = F.array(*map(F.lit, splits[_FAN - 1 :: _FAN]))
+    block = reached(coarse)
+    return block * _FAN + reached(F.slice(points, block * _FAN + 1, F.lit(_FAN)))
+
+
+def positions(rows: DataFrame, group: str, key: str, ties: list[str] | None = None, part_rows: int = PART_ROWS) -> DataFrame:
+    """Adds ``position``: the place from 1 on of each row in its group, in order of ``key`` (then ``ties``).
 
     Ranges between split points are numbered by themselves and offset by the counts before them,
-    so that one large set is many tasks. The split points are a few hundred elements, by hash.
+    so that one large group is many tasks. The split points are a sample of a few for each part, by hash.
     """
-    e = elements.select("set_name", "element").distinct()
-    some = sorted(r.element for r in e.select("element").distinct().orderBy(F.xxhash64("element"), "element").limit(8 * parts).collect())
-    splits = some[8::8]
-    part = F.lit(0)
-    if splits:
-        part = F.size(F.filter(F.array(*map(F.lit, splits)), lambda x: x <= F.col("element")))
-    ranged = e.withColumn("part", part)
-    here = F.row_number().over(Window.partitionBy("set_name", "part").orderBy("element"))
-    counts = ranged.groupBy("set_name", "part").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("set_name").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("set_name", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    return ranged.withColumn("k", here).join(offsets, ["set_name", "part"]).select("set_name", "element", (F.col("before") + F.col("k")).cast("long").alias("position"))
+    parts = min(MAX_PARTS, max(1, -(-rows.count() // part_rows)))
+    some = sorted(r[0] for r in rows.select(key).distinct().orderBy(F.xxhash64(key), key).limit(8 * parts).collect()) if parts > 1 else []
+    ranged = rows.withColumn("__part", _part_of(F.col(key), some[8::8]))
+    here = F.row_number().over(Window.partitionBy(group, "__part").orderBy(key, *(ties or [])))
+    counts = ranged.groupBy(group, "__part").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(group, "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    placed = ranged.withColumn("__k", here).join(offsets, [group, "__part"])
+    return placed.select(*rows.columns, (F.col("__before") + F.col("__k")).cast("long").alias("position"))
+
+
+def numbered(elements: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+    """(set_name, element, position): elements' places from 1 in each set."""
+    return positions(elements.select("set_name", "element").distinct(), "set_name", "element", part_rows=part_rows)
 
 
 def batched(elements: DataFrame, batch_size: int) -> DataFrame:

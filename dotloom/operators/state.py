@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 STATE = ["r", "set_name", "element", "actor", "cnt"]
@@ -43,3 +43,12 @@ def preflist(keys: DataFrame, position, partitions: int = 64, n: int = 3) -> Dat
 def ring_position(name):
     """A stable place on the ring for a set's name: only the name counts, so a set is in one place."""
     return F.xxhash64(name)
+
+
+def coordinator(preflists: DataFrame, request: Column) -> DataFrame:
+    """Adds ``coordinator``, one of ``replicas`` by a hash of the request, and ``others``, the rest in order.
+
+    The choice is as good as random, and the same when a task is run again.
+    """
+    pick = F.element_at("replicas", (F.pmod(request, F.size("replicas")) + 1).cast("int"))
+    return preflists.withColumn("coordinator", pick).withColumn("others", F.array_remove("replicas", F.col("coordinator")))

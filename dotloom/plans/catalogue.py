@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import codec, context, vv
-from ..operators import clock, handoff, read, repair, state, stats
+from ..operators import clock, handoff, read, repair, state, stats, store
+from ..sources import oplog, words
 from ..sources.oplog import DOT, STATE, OpLog, events_log, ops_from_events
 
 QUORUM = (0, 1)
@@ -15,6 +16,7 @@ RANGE_SET = "click"
 MEMBERS = [(s, f"{i:06d}") for s in ("click", "view") for i in range(0, 60, 3)] + [("click", "none"), ("absent", "000001"), ("click", "000003")]
 DOTS = ["set_name", "element", "actor", "cnt"]
 P = 64
+RESTARTS = {1: [400, 700]}
 
 _QUERIES: dict = {}
 
@@ -33,8 +35,13 @@ def _live(log: OpLog, quorum: tuple[int, ...] = QUORUM) -> DataFrame:
     return read.wide_survivors(log.wide, quorum)
 
 
-def _clock(log: OpLog, r: int, keys: tuple[str, ...] = ("set_name",)) -> DataFrame:
-    return log.clock.where(F.col("r") == r).select(*keys, "actor", "cnt")
+def _clock(log: OpLog, r: int) -> DataFrame:
+    return log.clock_of(r).select("set_name", "actor", "cnt")
+
+
+def _where(log: OpLog, flag) -> DataFrame:
+    """Dots of a wide log that a flag chooses: clock algebra over replicas is a filter there."""
+    return log.wide.where(flag).select("set_name", "actor", "cnt")
 
 
 def _packed_text(packed: DataFrame) -> DataFrame:
@@ -54,6 +61,41 @@ def assign_dots(log):
     return log.adds.select("op_id", "set_name", "element", "actor", "cnt")
 
 
+@query
+def actor_incarnations(log):
+    """Dots when replica 1 lost its store twice: each time it is a new actor, whose counters start again."""
+    return oplog.assign_dots(log.ops, restarts=RESTARTS).select("op_id", "set_name", "element", "actor", "cnt")
+
+
+@query
+def drop_replica(log):
+    """What the replicas have seen and held after replica 1 was dropped."""
+    left = OpLog(log.ops, log.adds, log.delivery, log.ctx).without_replica(1)
+    seen, held = (x.groupBy("r", "set_name").agg(F.count("*").alias(n)) for x, n in ((left.clock, "n_seen"), (left.held, "n_held")))
+    return seen.join(held, ["r", "set_name"], "left").select("r", "set_name", "n_seen", F.coalesce("n_held", F.lit(0)).cast("long").alias("n_held"))
+
+
+@query
+def visible_ctx(log):
+    """The dots that a coordinator holds just before an operation with a context."""
+    seen = oplog.visible_ctx(log.ops, log.adds, oplog.received)
+    return seen.groupBy("op_id").agg(F.count("*").alias("n_dots"), read.dots_text().alias("dots"))
+
+
+@query
+def blind_remove(log):
+    """A remove without context changes nothing: reads with and without such operations at the end of the log."""
+    blind = log.ops.where("op = 'remove'").select((F.col("op_id") + (1 << 40)).alias("op_id"), "set_name", "element", "replica", "op")
+    more = OpLog(log.ops.unionByName(blind), log.adds, log.delivery.unionByName(blind.select("op_id", F.col("replica").alias("r"))), log.ctx)
+    return read.by_element(read.survivors(more.held, more.clock, QUORUM))
+
+
+@query
+def coordinator_routing(log):
+    routed = state.coordinator(state.preflist(log.ops.select("op_id", "set_name"), F.col("op_id"), P), F.col("op_id") * 7)
+    return routed.select("op_id", "coordinator", F.array_join(F.col("others").cast("array<string>"), ",").alias("others"))
+
+
 @query
 def observed_ctx(log):
     return log.ctx.groupBy("op_id").agg(F.count("*").alias("n_dots"), read.dots_text().alias("dots"))
@@ -67,7 +109,7 @@ def replica_state(log):
 
 @query
 def local_set_read(log):
-    return read.by_element(read.local_set(log.held, 0))
+    return read.by_element(log.held_of(0))
 
 
 @query
@@ -136,7 +178,7 @@ def set_value(log):
 
 @query
 def set_size(log):
-    return read.local_set(log.held, 0).groupBy("set_name").agg(F.count("*").alias("n_keys"))
+    return log.held_of(0).groupBy("set_name").agg(F.count("*").alias("n_keys"))
 
 
 @query
@@ -147,7 +189,7 @@ def set_cardinality(log):
 @query
 def element_context(log):
     """The context that a writer at replica 0 would send for an element now."""
-    return read.by_element(read.local_set(log.held, 0)).select("set_name", "element", F.col("dots").alias("ctx"))
+    return read.by_element(log.held_of(0)).select("set_name", "element", F.col("dots").alias("ctx"))
 
 
 @query
@@ -313,58 +355,115 @@ def clock_actors(log):
     return clock.actors(log.clock, ["r", "set_name"])
 
 
+@query
+def clock_runs(log):
+    """Clocks of any size: their runs as rows."""
+    return clock.runs(log.clock, ["r", "set_name"], 512)
+
+
+@query
+def clock_add_dots(log):
+    """Replica 0's clocks with all dots that replica 1 holds."""
+    return _packed_text(clock.compress(clock.add_dots(_clock(log, 0), log.held_of(1).select("set_name", "actor", "cnt")), ["set_name"]))
+
+
+@query
+def clock_from_vv(log):
+    """Replica 0's version vectors as clocks again."""
+    return _packed_text(clock.from_vv(_vv(log, 0, "vv"), ["set_name"]))
+
+
+@query
+def clock_point_get(log):
+    """Single clocks of replica 0; a missing one is fresh."""
+    return _packed_text(clock.point_get(clock.compress(_clock(log, 0), ["set_name"]), _asked_actors(log)))
+
+
+@query
+def tombstone_point_get(log):
+    """Single tombstones of replica 0 after a handoff; a missing one is empty."""
+    return _packed_text(clock.point_get(clock.compress(_handed(log).tombstone.select("set_name", "actor", "cnt"), ["set_name"]), _asked_actors(log)))
+
+
+def _asked_actors(log: OpLog) -> DataFrame:
+    return _spark(log).createDataFrame([("click", "r0"), ("click", "r1"), ("view", "r2"), ("click", "r9"), ("absent", "r0")], "set_name string, actor string")
+
+
 @query
 def clock_merge(log):
+    return _packed_text(clock.compress(_where(log, F.col("seen0") | F.col("seen1")), ["set_name"]))
+
+
+@query
+def clock_merge_relational(log):
+    """The same from two relations of dots."""
     return _packed_text(clock.compress(clock.merge(_clock(log, 0), _clock(log, 1)), ["set_name"]))
 
 
 @query
 def clock_intersection(log):
+    return _packed_text(clock.compress(_where(log, F.col("seen0") & F.col("seen1")), ["set_name"]))
+
+
+@query
+def clock_intersection_relational(log):
     return _packed_text(clock.compress(clock.intersection(_clock(log, 0), _clock(log, 1)), ["set_name"]))
 
 
 @query
 def clock_complement(log):
+    return _packed_text(clock.compress(_where(log, F.col("seen1") & ~F.col("seen0")), ["set_name"]))
+
+
+@query
+def clock_complement_relational(log):
     whole = clock.merge(_clock(log, 0), _clock(log, 1))
     return _packed_text(clock.compress(clock.complement(whole, _clock(log, 0)), ["set_name"]))
 
 
 @query
 def clock_subtract(log):
-    held = log.held.where("r = 0").select("set_name", "actor", "cnt")
-    return _packed_text(clock.compress(clock.subtract(_clock(log, 0), held), ["set_name"]))
+    return _packed_text(clock.compress(_where(log, F.col("seen0") & ~F.col("held0")), ["set_name"]))
 
 
 @query
 def clock_compare(log):
-    out = None
-    for a, b in ((0, 1), (0, 2), (1, 2)):
-        one = clock.compare(_clock(log, a), _clock(log, b), ["set_name"]).select("set_name", F.lit(a).alias("a"), F.lit(b).alias("b"), "only_a", "only_b", "relation")
-        out = one if out is None else out.unionByName(one)
-    whole = clock.merge(_clock(log, 0), _clock(log, 1))
-    merged = clock.compare(whole, _clock(log, 0), ["set_name"]).select("set_name", F.lit(9).alias("a"), F.lit(0).alias("b"), "only_a", "only_b", "relation")
-    return out.unionByName(merged)
+    """Replicas' clocks in pairs, and (9, 0) the merge of 0 and 1 with 0: one aggregate over the wide log."""
+    seen = [F.col(f"seen{r}") for r in (0, 1, 2)]
+    pairs = {(a, b): (seen[a], seen[b]) for a, b in ((0, 1), (0, 2), (1, 2))} | {(9, 0): (seen[0] | seen[1], seen[0])}
+    return clock.wide_compare(log.wide, pairs)
+
+
+@query
+def clock_compare_relational(log):
+    """Two clocks given as relations of dots."""
+    return clock.compare(_clock(log, 0), _clock(log, 1), ["set_name"])
 
 
 @query
 def dots_seen(log):
-    """Dots that replica 1 holds and replica 0 has seen, tested on the packed clock."""
-    held = log.held.where("r = 1").select(*DOTS)
-    mine = _packed(log, 0)
-    out = held.join(mine, ["set_name", "actor"], "left")
-    return out.where(clock.packed_seen(F.col("cnt"), F.col("base"), F.col("cloud"))).select(*DOTS, clock.contiguous_seen(F.col("cnt"), F.col("base")).alias("contiguous"))
+    """Dots that replica 1 holds and replica 0 has seen, and whether 0 has seen all before them, too."""
+    held = log.wide.where("held1 and seen0").select(*DOTS)
+    return held.join(clock.bases(_clock(log, 0), ["set_name"]), ["set_name", "actor"], "left").select(*DOTS, clock.contiguous_seen(F.col("cnt"), F.col("base")).alias("contiguous"))
+
+
+@query
+def dots_seen_relational(log):
+    """The same from long relations: a semi join with the clock's dots."""
+    held = clock.seen(log.held_of(1), _clock(log, 0), DOT)
+    return held.join(clock.bases(_clock(log, 0), ["set_name"]), ["set_name", "actor"], "left").select(*DOTS, clock.contiguous_seen(F.col("cnt"), F.col("base")).alias("contiguous"))
 
 
 @query
 def dots_unseen(log):
-    return clock.unseen(log.held.where("r = 1").select(*DOTS), _clock(log, 0), DOT)
+    return clock.unseen(log.held_of(1), _clock(log, 0), DOT)
 
 
 @query
 def contiguous_counter(log):
     out = None
     for r in (0, 1, 2):
-        one = clock.contiguous_counter(_packed(log, r), f"r{r}").withColumn("r", F.lit(r))
+        one = clock.contiguous_counter(clock.bases(_clock(log, r), ["set_name"]), f"r{r}").withColumn("r", F.lit(r))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -372,11 +471,11 @@ def contiguous_counter(log):
 @query
 def get_dot(log):
     sets = _spark(log).createDataFrame([("click",), ("absent",)], "set_name string")
-    return clock.get_dot(_packed(log, 0), sets, "r0")
+    return clock.get_dot(clock.bases(_clock(log, 0), ["set_name"]), sets, "r0")
 
 
 def _vv(log: OpLog, r: int, name: str) -> DataFrame:
-    return _packed(log, r).groupBy("set_name").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("actor", "base")))).alias(name))
+    return clock.bases(_clock(log, r), ["set_name"]).groupBy("set_name").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("actor", "base")))).alias(name))
 
 
 @query
@@ -392,6 +491,13 @@ def vv_descends(log):
     return both.select("set_name", vv.vv_descends(a, b).alias("a_b"), vv.vv_descends(b, a).alias("b_a"), vv.vv_descends(m, a).alias("m_a"), vv.vv_dominates(m, b).alias("m_over_b"), vv.vv_text(vv.vv_increment(a, F.lit("r9"))).alias("incremented"))
 
 
+@query
+def vv_binary(log):
+    """Version vectors of replica 0 as bytes, and what the bytes say."""
+    packed = _vv(log, 0, "a").select("set_name", vv.vv_pack(F.col("a"), 2).alias("packed"))
+    return packed.select("set_name", F.hex("packed").alias("packed"), vv.vv_text(vv.vv_unpack(F.col("packed"))).alias("unpacked"))
+
+
 # -- contexts and keys
 
 
@@ -416,15 +522,51 @@ def ctx_decode(log):
     return context.decode(coded, known, ["set_name"]).select(*DOTS)
 
 
-def _keys(log: OpLog, kind: str = "nul") -> DataFrame:
-    make = codec.nul_key if kind == "nul" else codec.lens_key
-    dots = log.held.where("r = 0")
-    s, e, a = F.col("set_name"), F.col("element"), F.col("actor")
-    keys = dots.select(make("element", s, e, a, F.col("cnt")).alias("key"))
-    meta = log.clock.where("r = 0").select("set_name", "actor").distinct()
-    for what in ("clock", "tombstone"):
-        keys = keys.unionByName(meta.select(make(what, s, actor=a).alias("key")))
-    return keys.unionByName(meta.select("set_name").distinct().select(make("end", s).alias("key")))
+def _keys(log: OpLog, layout: str = "nul") -> DataFrame:
+    return store.keys_of(log.held_of(0), log.clock_of(0), layout)
+
+
+@query
+def context_terms(log):
+    """Elements' contexts at replica 0 as bytes and back: the third of the forms that updates take."""
+    dots = log.held_of(0).groupBy("set_name", "element").agg(F.array_sort(F.collect_list(F.struct("actor", "cnt"))).alias("d"))
+    term = dots.select("set_name", "element", codec.to_term(F.col("d").alias("ctx")).alias("term"))
+    back = codec.from_term(F.col("term"), "ctx array<struct<actor:string,cnt:bigint>>")["ctx"]
+    text = F.array_join(F.transform(back, lambda d: F.concat(d["actor"], F.lit(":"), d["cnt"].cast("string"))), ",")
+    return term.select("set_name", "element", text.alias("dots"))
+
+
+@query
+def clock_keys(log):
+    """Which keys of a store are the clock of (click, r0)."""
+    return _keys(log).groupBy(codec.is_clock_key(F.col("key"), F.lit("click"), F.lit("r0")).alias("is_clock")).agg(F.count("*").alias("n"))
+
+
+@query
+def dump_store(log):
+    """Every key of replica 0's store, raw and decoded."""
+    return store.dump(_keys(log)).select(F.hex("key").alias("key"), "kind", "set_name", "element", "actor", "cnt")
+
+
+def _fold_actors(frames):
+    """Elements and the sum of counters for each actor, as a caller of run_fold would write it."""
+    for frame in frames:
+        own = frame[frame["kind"] == "element"]
+        yield own.groupby("actor", as_index=False).agg(n=("cnt", "size"), total=("cnt", "sum")).astype({"n": "int64", "total": "int64"})
+
+
+@query
+def run_fold(log):
+    """A user function over a store's keys."""
+    parts = store.run_fold(_keys(log), _fold_actors, "actor string, n long, total long")
+    return parts.groupBy("actor").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+
+
+@query
+def store_size(log):
+    """Keys and bytes of each set in replica 0's store."""
+    sized = store.dump(_keys(log))
+    return store.store_size(sized, ["set_name"])
 
 
 @query
@@ -450,10 +592,7 @@ def decode_keys_lens(log):
 @query
 def key_order(log):
     """Places of a set's keys in the store: clock, tombstone, elements, end; by columns, not bytes."""
-    d = codec.decode_nul(_keys(log)).where(F.col("set_name") == RANGE_SET)
-    rank = F.when(F.col("kind") == "clock", 0).when(F.col("kind") == "tombstone", 1).when(F.col("kind") == "element", 2).otherwise(3)
-    order = Window.partitionBy("set_name").orderBy(rank, "element", "actor", "cnt")
-    return d.withColumn("place", F.row_number().over(order).cast("long")).select("set_name", "kind", "element", "actor", "cnt", "place")
+    return store.dump_set(_keys(log), RANGE_SET)
 
 
 # -- handoff and compaction
@@ -487,7 +626,21 @@ def handoff_value(log):
 @query
 def handoff_scan(log):
     """What a sender ships: its keys, marked with who sends."""
-    return read.local_set(log.held, 2).withColumn("sender", F.lit("r2"))
+    return log.held_of(2).withColumn("sender", F.lit("r2"))
+
+
+@query
+def handoff_senders(log):
+    """Replica 0 after it took over from replica 1, then from replica 2."""
+    return read.by_element(handoff.hand_off_many(log.held, log.clock, (1, 2), 0).visible)
+
+
+@query
+def handoff_stream(log):
+    """What replica 0 tombstones for each of two senders, whose keys come mixed in a stream."""
+    from ..streaming.handoff import run_handoffs
+
+    return run_handoffs(log, (1, 2), 0)
 
 
 @query
@@ -505,7 +658,7 @@ def compaction_gain(log):
 
 @query
 def tombstone_route(log):
-    return handoff.route_tombstones(log.held.where("r = 1").select(*DOTS), log.clock.where("r = 0").select(*DOTS))
+    return handoff.route_tombstones(log.held_of(1), log.clock_of(0))
 
 
 # -- statistics and streams
@@ -538,8 +691,19 @@ def orders_merged_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.by_element(read.wide_survivors(wide_state(ops, mint(ops)), QUORUM))
 
 
+def random_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A synthetic set of 1,000 elements."""
+    return words.random_elements(spark, 1000, 100, 7)
+
+
+def random_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many elements of the synthetic set 20 runs of neighbours of 50 elements each have, and their first places."""
+    runs = words.batches_of(words.random_elements(spark, 1000, 100, 7), 20, 50, 7)
+    return runs.groupBy("batch").agg(F.count("*").alias("n"), F.count_distinct("element").alias("n_distinct"))
+
+
 def queries() -> dict:
-    return _QUERIES | {f.__name__: f for f in (latency_stats, latency_histogram, stream_state, orders_merged_read)}
+    return _QUERIES | {f.__name__: f for f in (random_set, random_batches, latency_stats, latency_histogram, stream_state, orders_merged_read)}
 
 
 __all__ = ["queries", "STATE"]

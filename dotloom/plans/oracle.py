@@ -5,7 +5,7 @@ It follows the definitions (joins of contexts with deliveries), not the plans of
 
 from __future__ import annotations
 
-from .catalogue import MEMBERS, RANGE, RANGE_SET
+from .catalogue import MEMBERS, RANGE, RANGE_SET, RESTARTS
 
 LOG = """
 ops AS (
@@ -71,6 +71,16 @@ hclock AS (SELECT * FROM cs UNION SELECT * FROM cr),
 hheld AS (SELECT * FROM kr UNION (SELECT * FROM ks EXCEPT SELECT * FROM cr)),
 htomb AS ((SELECT * FROM cs EXCEPT SELECT * FROM ks) INTERSECT SELECT * FROM cr),
 hvis AS (SELECT * FROM hheld EXCEPT SELECT * FROM htomb)""".strip()
+SENDERS = """
+s1 AS (SELECT set_name, element, actor, cnt FROM clock WHERE r = 1), k1 AS (SELECT set_name, element, actor, cnt FROM held WHERE r = 1),
+s2 AS (SELECT set_name, element, actor, cnt FROM clock WHERE r = 2), k2 AS (SELECT set_name, element, actor, cnt FROM held WHERE r = 2),
+s0 AS (SELECT set_name, element, actor, cnt FROM clock WHERE r = 0), k0 AS (SELECT set_name, element, actor, cnt FROM held WHERE r = 0),
+t1 AS ((SELECT * FROM s1 EXCEPT SELECT * FROM k1) INTERSECT SELECT * FROM s0),
+h1 AS (SELECT * FROM k0 UNION (SELECT * FROM k1 EXCEPT SELECT * FROM s0)),
+q1 AS (SELECT * FROM s1 UNION SELECT * FROM s0),
+t2 AS (SELECT * FROM t1 UNION ((SELECT * FROM s2 EXCEPT SELECT * FROM k2) INTERSECT SELECT * FROM q1)),
+h2 AS (SELECT * FROM h1 UNION (SELECT * FROM k2 EXCEPT SELECT * FROM q1)),
+hvis AS (SELECT * FROM h2 EXCEPT SELECT * FROM t2)""".strip()
 REPAIRS = """
 rep AS (
   SELECT q.r AS replica, set_name, element, 'add' AS action, actor, cnt FROM {live} l, (SELECT unnest([0, 1]) AS r) q
@@ -248,6 +258,51 @@ FROM (SELECT DISTINCT set_name FROM a) s""",
             "SELECT r, set_name, count(*) AS n_seen, count(h) AS n_held FROM clock LEFT JOIN (SELECT *, 1 AS h FROM held) USING (r, set_name, element, actor, cnt) GROUP BY r, set_name"
         ),
     }
+    epoch = " + ".join(["0", *[f"CASE WHEN replica = {r} AND op_id >= {n} THEN 1 ELSE 0 END" for r, starts in RESTARTS.items() for n in starts]])
+    points = "points AS (SELECT * FROM (VALUES ('click', 'r0'), ('click', 'r1'), ('view', 'r2'), ('click', 'r9'), ('absent', 'r0')) t(set_name, actor))"
+    point = "SELECT set_name, actor, base IS NULL AS fresh, coalesce(base, 0) AS base, coalesce(cloud, '') AS cloud, coalesce(n_gapped, 0) AS n_gapped FROM points LEFT JOIN ({}) USING (set_name, actor)"
+    out |= {
+        "actor_incarnations": _with(f"""SELECT op_id, set_name, element, actor, row_number() OVER (PARTITION BY set_name, actor ORDER BY op_id) AS cnt
+FROM (SELECT *, 'r' || replica || CASE WHEN epoch > 0 THEN '.' || epoch ELSE '' END AS actor FROM (SELECT *, {epoch} AS epoch FROM ops WHERE op <> 'remove'))"""),
+        "drop_replica": _with("SELECT r, set_name, count(*) AS n_seen, count(h) AS n_held FROM clock LEFT JOIN (SELECT *, 1 AS h FROM held) USING (r, set_name, element, actor, cnt) WHERE r <> 1 GROUP BY r, set_name"),
+        "visible_ctx": _with("""SELECT op_id, count(*) AS n_dots, string_agg(actor || ':' || cnt, ',' ORDER BY actor, cnt) AS dots FROM ctx c JOIN (SELECT op_id, replica FROM ops) o USING (op_id)
+WHERE NOT EXISTS (SELECT 1 FROM ctx x JOIN delivery d ON d.op_id = x.op_id WHERE d.r = o.replica AND x.set_name = c.set_name AND x.actor = c.actor AND x.cnt = c.cnt AND x.op_id < c.op_id)
+GROUP BY op_id"""),
+        "blind_remove": out["merged_read"],
+        "coordinator_routing": _with("SELECT op_id, list_extract(p, k) AS coordinator, array_to_string(list_filter(p, lambda x: x <> list_extract(p, k)), ',') AS others FROM (SELECT op_id, [op_id % 64, (op_id + 1) % 64, (op_id + 2) % 64] AS p, op_id * 7 % 3 + 1 AS k FROM ops)"),
+        "clock_runs": _with("SELECT r, set_name, actor, min(cnt) AS low, max(cnt) AS high FROM (SELECT *, cnt - row_number() OVER (PARTITION BY r, set_name, actor ORDER BY cnt) AS i FROM (SELECT DISTINCT r, set_name, actor, cnt FROM clock)) GROUP BY r, set_name, actor, i"),
+        "clock_add_dots": _with(_packed("(SELECT * FROM c0 UNION SELECT set_name, actor, cnt FROM held WHERE r = 1)"), C0),
+        "clock_from_vv": _with("SELECT set_name, actor, base, '' AS cloud, CAST(0 AS BIGINT) AS n_gapped FROM pk WHERE r = 0", BASES),
+        "clock_point_get": _with(point.format(_packed("c0")), C0, points),
+        "tombstone_point_get": _with(point.format(_packed("htomb")), HANDOFF, points),
+        "clock_compare_relational": _with(f"SELECT set_name, only_a, only_b, relation FROM ({_compare('c0', 'c1', 0, 1)})", C0, C1),
+        "vv_binary": _with(
+            "SELECT set_name, '00000002' || string_agg(hex(actor) || lpad(printf('%X', base), 16, '0'), '' ORDER BY actor) AS packed, string_agg(actor || ':' || base, ',' ORDER BY actor) AS unpacked FROM pk WHERE r = 0 GROUP BY set_name", BASES
+        ),
+        "context_terms": _with("SELECT set_name, element, string_agg(actor || ':' || cnt, ',' ORDER BY actor, cnt) AS dots FROM held WHERE r = 0 GROUP BY ALL"),
+        "clock_keys": _with(f"SELECT kind = 'clock' AND set_name = 'click' AND actor = 'r0' AS is_clock, count(*) AS n FROM (SELECT kind, set_name, coalesce(actor, '') AS actor FROM ({KEY_ROWS})) GROUP BY 1"),
+        "dump_store": _with(
+            f"""SELECT {_nul('65', 'element', 'actor', 'cnt')} AS key, 'element' AS kind, set_name, element, actor, cnt FROM held WHERE r = 0
+UNION ALL SELECT DISTINCT {_nul('63', actor='actor')}, 'clock', set_name, NULL, actor, NULL FROM clock WHERE r = 0
+UNION ALL SELECT DISTINCT {_nul('64', actor='actor')}, 'tombstone', set_name, NULL, actor, NULL FROM clock WHERE r = 0
+UNION ALL SELECT DISTINCT {_nul('7A')}, 'end', set_name, NULL, NULL, NULL FROM clock WHERE r = 0"""
+        ),
+        "run_fold": _with("SELECT actor, count(*) AS n, CAST(sum(cnt) AS BIGINT) AS total FROM held WHERE r = 0 GROUP BY actor"),
+        "store_size": _with(
+            f"""SELECT set_name, false AS is_empty, count(*) AS n_keys, CAST(sum(length(key)) // 2 AS BIGINT) AS n_bytes FROM (
+SELECT set_name, {_nul('65', 'element', 'actor', 'cnt')} AS key FROM held WHERE r = 0
+UNION ALL SELECT set_name, {_nul('63', actor='actor')} FROM (SELECT DISTINCT set_name, actor FROM clock WHERE r = 0)
+UNION ALL SELECT set_name, {_nul('64', actor='actor')} FROM (SELECT DISTINCT set_name, actor FROM clock WHERE r = 0)
+UNION ALL SELECT set_name, {_nul('7A')} FROM (SELECT DISTINCT set_name FROM clock WHERE r = 0)) GROUP BY set_name"""
+        ),
+        "handoff_senders": _with(BY_ELEMENT.format("hvis"), SENDERS),
+        "handoff_stream": _with("""SELECT 'r' || s.r AS sender, s.set_name, s.actor, s.cnt FROM clock s WHERE s.r IN (1, 2)
+AND NOT EXISTS (SELECT 1 FROM held h WHERE h.r = s.r AND h.set_name = s.set_name AND h.actor = s.actor AND h.cnt = s.cnt)
+AND EXISTS (SELECT 1 FROM clock c WHERE c.r = 0 AND c.set_name = s.set_name AND c.actor = s.actor AND c.cnt = s.cnt)"""),
+        "random_set": "SELECT id AS position, substr(sha256('7-' || id || '-0') || sha256('7-' || id || '-1'), 1, 100) AS element FROM range(1000) t(id)",
+        "random_batches": "SELECT id AS batch, CAST(50 AS BIGINT) AS n, CAST(50 AS BIGINT) AS n_distinct FROM range(20) t(id)",
+    }
+    out |= {f"{name}_relational": out[name] for name in ("clock_merge", "clock_intersection", "clock_complement", "dots_seen")}
     out["merged_read_relational"] = out["merge_dots_arrays"] = out["merged_read"]
     out |= {f"{name}_relational": out[name] for name in ("read_repairs", "repair_apply", "handoff_value")}
     orders = "events AS (SELECT o_orderkey AS event_id, o_orderpriority AS event_type, o_custkey AS user_id FROM orders), "

@@ -16,7 +16,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 DOT = ["set_name", "actor", "cnt"]
@@ -27,13 +27,36 @@ REPLICAS = (0, 1, 2)
 NUMBER_SPAN = 1 << 20
 
 
-def assign_dots(ops: DataFrame, start: DataFrame | None = None, span: int = NUMBER_SPAN) -> DataFrame:
+def actor_of(restarts: dict[int, list[int]] | None = None) -> Column:
+    """The actor of an operation: its replica, and how often that had lost its store before.
+
+    ``restarts`` has for a replica the op ids from which on it is a new incarnation.
+    """
+    epoch = F.lit(0)
+    for replica, starts in (restarts or {}).items():
+        for start in starts:
+            epoch = epoch + F.when((F.col("replica") == replica) & (F.col("op_id") >= start), 1).otherwise(0)
+    return F.concat(F.lit("r"), "replica", F.when(epoch > 0, F.concat(F.lit("."), epoch.cast("string"))).otherwise(F.lit("")))
+
+
+def next_incarnation(status: dict, node: str, now: int) -> dict:
+    """A store's status with a new actor id: node and epoch; the epoch is above the last one even if clocks go back."""
+    epoch = max(now, status.get("last_epoch", 0) + 1)
+    return {**status, "actor": f"{node}.{epoch}", "last_epoch": epoch}
+
+
+def cleared_incarnation(status: dict) -> dict:
+    """The status of a dropped store: without an actor, but with its epoch."""
+    return {k: v for k, v in status.items() if k != "actor"}
+
+
+def assign_dots(ops: DataFrame, start: DataFrame | None = None, span: int = NUMBER_SPAN, restarts: dict[int, list[int]] | None = None) -> DataFrame:
     """Mint a dot for each add: the next counter of (set, actor) in op order; removes mint none.
 
     Counters come from counts of op-id spans and numbers inside a span, so that no task holds all
-    of an actor's operations. ``start(set_name, actor, base)`` has counters already used.
+    of an actor's operations. ``start(set_name, actor, base)`` has counters already used; ``restarts`` see actor_of().
     """
-    adds = ops.where("op <> 'remove'").select("op_id", "set_name", "element", "replica", F.concat(F.lit("r"), "replica").alias("actor"), F.floor(F.col("op_id") / span).alias("span"))
+    adds = ops.where("op <> 'remove'").select("op_id", "set_name", "element", "replica", actor_of(restarts).alias("actor"), F.floor(F.col("op_id") / span).alias("span"))
     before = Window.partitionBy("set_name", "actor").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
     spans = adds.groupBy("set_name", "actor", "span").agg(F.count("*").alias("n"))
     spans = spans.select("set_name", "actor", "span", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
@@ -51,6 +74,34 @@ def observed_ctx(ops: DataFrame, adds: DataFrame, delivery: DataFrame) -> DataFr
     return asks.join(seen, ["set_name", "element", "r"]).where("born < op_id").select("op_id", "set_name", "element", "actor", "cnt")
 
 
+def visible_ctx(ops: DataFrame, adds: DataFrame, delivered, replicas: tuple[int, ...] = REPLICAS, span: int = NUMBER_SPAN) -> DataFrame:
+    """The context of each add_ctx and remove as its coordinator sees it: its element's dots that are visible there.
+
+    ``delivered(r)`` says whether replica r got an operation. A dot goes at p with the first later operation
+    with a context that reached p from a replica that had the dot; an operation at p that sees the dot is one of these
+    itself. So a dot is in one context at each replica at most: that of the next such operation at p, if nothing
+    removed the dot at p before. Next operations come from windows over spans of op ids and from the first
+    ones of later spans, so that no task holds all operations of an element.
+    """
+    keys = ["set_name", "element"]
+    told = lambda o, p: F.when((F.col("op") != "add_blind") & (F.col("replica") == o) & delivered(p), F.col("op_id"))
+    names = {(o, p): f"next{o}{p}" for o in replicas for p in replicas}
+    spanned = ops.withColumn("span", F.floor(F.col("op_id") / span))
+    first = spanned.groupBy(*keys, "span").agg(*[F.min(told(o, p)).alias(n) for (o, p), n in names.items()])
+    later = Window.partitionBy(*keys).orderBy("span").rowsBetween(1, Window.unboundedFollowing)
+    first = first.select(*keys, "span", *[F.min(n).over(later).alias(f"far_{n}") for n in names.values()])
+    after = Window.partitionBy(*keys, "span").orderBy("op_id").rowsBetween(1, Window.unboundedFollowing)
+    near = spanned.select(*keys, "span", "op_id", "op", "replica", *[F.min(told(o, p)).over(after).alias(n) for (o, p), n in names.items()])
+    known = near.where("op <> 'remove'").join(first, [*keys, "span"])
+    dots = adds.select("op_id", "actor", "cnt").join(known.select("op_id", *keys, "replica", *[F.least(n, f"far_{n}").alias(n) for n in names.values()]), "op_id")
+    end = 1 << 62
+    asked = []
+    for p in replicas:
+        gone = F.least(*[F.when(delivered(o), F.coalesce(names[o, p], F.lit(end))).otherwise(F.lit(end)) for o in replicas])
+        asked.append(F.when(delivered(p) & (F.col(names[p, p]) == gone), F.col(names[p, p])))
+    return dots.select(F.explode(F.array_compact(F.array(*asked))).alias("asks"), *keys, "actor", "cnt").withColumnRenamed("asks", "op_id")
+
+
 @dataclass
 class OpLog:
     ops: DataFrame
@@ -92,6 +143,35 @@ class OpLog:
         return self.delivered_adds.unionByName(self.removed).distinct()
 
 
+    def clock_of(self, r: int) -> DataFrame:
+        """(set_name, element, actor, cnt) that replica r has seen; on a wide log a filter."""
+        relation = self.wide.where(F.col(f"seen{r}")) if self.wide is not None else self.clock.where(F.col("r") == r)
+        return relation.select("set_name", "element", "actor", "cnt")
+
+    def held_of(self, r: int) -> DataFrame:
+        """(set_name, element, actor, cnt) that replica r holds."""
+        relation = self.wide.where(F.col(f"held{r}")) if self.wide is not None else self.held.where(F.col("r") == r)
+        return relation.select("set_name", "element", "actor", "cnt")
+
+    def without_replica(self, r: int) -> OpLog:
+        """The log after replica r lost its store: nothing was delivered to it. What it wrote lives on elsewhere.
+
+        It comes back as a new actor, see assign_dots(): counters of a lost store mustn't be minted again.
+        """
+        return OpLog(self.ops, self.adds, self.delivery.where(F.col("r") != r), self.ctx)
+
+    RELATIONS = ("ops", "adds", "delivery", "ctx")
+
+    def save(self, path: str, mode: str = "errorifexists") -> None:
+        """Write the four relations below ``path``; mode ``append`` adds operations to a log that is there."""
+        for name in self.RELATIONS:
+            getattr(self, name).write.mode(mode).parquet(f"{path}/{name}")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> OpLog:
+        return cls(*[spark.read.parquet(f"{path}/{name}") for name in cls.RELATIONS])
+
+
 def unpivot(wide: DataFrame, flag: str) -> DataFrame:
     """One row per replica whose flag is set."""
     at = F.array_compact(F.array(*[F.when(F.col(f"{flag}{r}"), F.lit(r)) for r in REPLICAS]))

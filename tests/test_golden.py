@@ -1,9 +1,11 @@
 """Golden cases of the clock algebra, merges, handoff, codecs and option checks."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
-from dotloom.api import CausalSets
+from dotloom.api import CausalSets, context_dots, within
 from dotloom.functions import codec, context, vv
 from dotloom.operators import clock, handoff, read, repair, state
 from dotloom.sources import oplog, words
@@ -168,7 +170,8 @@ def test_client(spark):
     assert {r.element: r.dots for r in again.read("s").collect()} == {"a": "r0:3", "b": "r0:1"}
     assert [[r.element for r in batch] for batch in sets.stream_read("s", 1)] == [["a"], ["b"]]
     assert sets.is_member("s", "a").head().is_member and not sets.is_member("s", "q").head().is_member
-    assert sets.is_subset("s", ["a", "b"]).head().is_subset and not sets.is_subset("s", ["a", "q"]).head().is_subset
+    assert sets.has_all("s", ["a", "b"]).head().is_subset and not sets.has_all("s", ["a", "q"]).head().is_subset
+    assert [r.element for r in sets.is_subset("s", ["a", "q"]).collect()] == ["a"]
     assert sets.read("nowhere").isEmpty() and sets.repairs().isEmpty()
     assert [r.element for r in sets.read("s", range_start="b").collect()] == ["b"]
     assert {(r.actor, r.base) for r in sets.clock(0).collect()} == {("r0", 2), ("r1", 1)}
@@ -178,6 +181,64 @@ def test_client(spark):
         sets.update("s", ["x"], delivered=(0,))
 
 
+def test_forms_of_contexts(spark):
+    dots = [("r0", 2), ("r1", 300)]
+    assert context_dots(None) == context_dots(b"") == []
+    assert context_dots(dots) == context_dots(json.dumps(dots).encode()) == dots
+    df = spark.createDataFrame([("s", "e", *d) for d in dots], "set_name string, element string, " + DOT)
+    known = spark.createDataFrame([("s", "r0", 1), ("s", "r1", 2)], "set_name string, actor string, id int")
+    coded = bytes(context.encode(df, known, ["set_name"], ["set_name", "element"]).head().ctx)
+    assert context_dots(coded, {1: "r0", 2: "r1"}) == dots
+    sets = CausalSets.empty(spark).update("s", ["a"]).update("s", [("a", json.dumps([("r0", 1)]).encode()), "b"])
+    assert {r.element: r.dots for r in sets.read("s").collect()} == {"a": "r0:2", "b": "r0:3"}
+
+
+def test_kept_logs_and_client_options(spark, tmp_path):
+    path = f"file://{tmp_path}/log"
+    CausalSets.open(spark, path).update("s", ["a", "b"])
+    sets = CausalSets.open(spark, path).update("s", removes=["a"], ctx={"a": [("r0", 1)]}, replica=1)
+    assert [(r.element, r.dots) for r in CausalSets.open(spark, path).fetch("s", timeout=60_000)] == [("b", "r0:2")]
+    copy = sets.save(f"file://{tmp_path}/copy").update("s", ["c"])
+    assert [r.element for r in copy.fetch("s", recv_timeout="infinity")] == ["b", "c"]
+    assert [r.element for r in copy.fetch("s", ctx=[("r0", 2)])] == ["c"]
+    assert len(sets.fetch("s")) == 1
+    copy.write_read("s", lambda df: df.write.parquet(f"{tmp_path}/out"))
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 2
+    assert set(sets.bm_read("s", 2)) == {"max", "min", "avg"}
+    for bad in (0, -1, True, "soon"):
+        with pytest.raises(ValueError):
+            sets.read("s", timeout=bad)
+    with pytest.raises(TimeoutError):
+        within(spark, 0.05, lambda: spark.range(1 << 36).selectExpr("sum(id % 7)").collect())
+    assert {r.kind for r in copy.dump_set(0, "s").collect()} == {"clock", "tombstone", "element", "end"}
+    dropped = copy.drop_replica(1)
+    assert dropped.log.clock_of(1).isEmpty() and not dropped.log.clock_of(0).isEmpty()
+
+
+def test_incarnations():
+    one = oplog.next_incarnation({}, "n", 100)
+    assert one == {"actor": "n.100", "last_epoch": 100}
+    gone = oplog.cleared_incarnation(one)
+    assert oplog.next_incarnation(gone, "n", 50) == {"actor": "n.101", "last_epoch": 101}
+
+
+def test_runs_join_across_spans(spark):
+    cnts = [1, 2, 3, 4, 5, 6, 7, 8, 9, 12, 15, 16, 17, 40]
+    df = spark.createDataFrame([("s", "a", n) for n in cnts] + [("s", "b", 4), ("s", "b", 3)], "set_name string, " + DOT)
+    for span in (2, 4, 1 << 16):
+        got = sorted((r.actor, r.low, r.high) for r in clock.runs(df, ["set_name"], span).collect())
+        assert got == [("a", 1, 9), ("a", 12, 12), ("a", 15, 17), ("a", 40, 40), ("b", 3, 4)]
+        assert {r.actor: r.base for r in clock.bases(df, ["set_name"], span).collect()} == {"a": 9, "b": 0}
+
+
+def test_positions_in_many_parts(spark):
+    df = spark.createDataFrame([(f"s{i % 2}", f"{(i * 7919) % 6007:05d}") for i in range(6007)], "set_name string, element string")
+    got = read.numbered(df, part_rows=20).collect()
+    for name in ("s0", "s1"):
+        mine = sorted((r.position, r.element) for r in got if r.set_name == name)
+        assert [p for p, _ in mine] == list(range(1, len(mine) + 1)) and [e for _, e in mine] == sorted(e for _, e in mine)
+
+
 def test_word_sources(spark, tmp_path):
     (tmp_path / "words.txt").write_bytes(b"one\r\ntwo\nthree\n")
     assert sorted(r.element for r in words.read_words(spark, str(tmp_path / "words.txt")).collect()) == ["one", "three", "two"]

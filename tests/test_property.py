@@ -77,3 +77,96 @@ def test_empty_log(spark):
     assert log.held.isEmpty() and log.clock.isEmpty()
     assert read.survivors(log.held, log.clock, (0, 1)).isEmpty()
     assert handoff.hand_off(log.held, log.clock, 0, 1).visible.isEmpty()
+
+
+def receive(sender, receiver):
+    """A handoff key by key, as a receiver lives it: (clock, held, tombstone) of both are sets of dots."""
+    (clock_s, held_s, tomb_s), (clock_r, held_r, tomb_r) = sender, receiver
+    tracker, seen, held = set(), set(clock_r), set(held_r)
+    for dot in sorted(held_s - tomb_s):
+        tracker.add(dot)
+        if dot not in seen:
+            seen.add(dot)
+            held.add(dot)
+    removed = clock_s - tracker
+    return seen | clock_s, held, tomb_r | (removed & clock_r)
+
+
+def compacted(state):
+    clock, held, tomb = state
+    return clock, held - tomb, set()
+
+
+def frames(spark, states):
+    """(held, clock, tombstone) relations of all replicas."""
+    rows = lambda k: [(r, "s", d[2], d[0], d[1]) for r, s in enumerate(states) for d in sorted(s[k])]
+    return [spark.createDataFrame(rows(k), "r int, set_name string, element string, actor string, cnt long") for k in (1, 0, 2)]
+
+
+def dots(df):
+    return {(r.actor, r.cnt, r.element) for r in df.collect()}
+
+
+def test_interleaved_handoffs_and_compactions(spark):
+    """Adds, removes, lost and repeated deltas, handoffs and compactions in any order; relations follow the replicas."""
+    for seed in range(4):
+        rng = random.Random(seed)
+        states = [(set(), set(), set()) for _ in range(3)]
+        counters, deltas = [0, 0, 0], []
+        for _ in range(40):
+            r = rng.randrange(3)
+            clock, held, tomb = states[r]
+            what = rng.choice(["add", "add", "remove", "replicate", "replicate", "handoff", "compact"])
+            if what in ("add", "remove"):
+                element = rng.choice("abc")
+                ctx = {d for d in held - tomb if d[2] == element} if what == "remove" or rng.random() < 0.5 else set()
+                dot = None
+                if what == "add":
+                    counters[r] += 1
+                    dot = (f"r{r}", counters[r], element)
+                deltas.append((dot, ctx))
+                applied = [deltas[-1]]
+            else:
+                applied = rng.sample(deltas, min(len(deltas), 3)) if what == "replicate" else []
+            for dot, ctx in applied:  # what is removed and was seen goes to the tombstone, or the clock
+                tomb = tomb | (ctx & clock)
+                clock = clock | ctx
+                if dot and dot not in clock:
+                    clock, held = clock | {dot}, held | {dot}
+            states[r] = (clock, held, tomb)
+            if what == "compact":
+                states[r] = compacted(states[r])
+            if what == "handoff":
+                states[r] = receive(states[rng.choice([x for x in range(3) if x != r])], states[r])
+        held, clock, tomb = frames(spark, states)
+        for sender, receiver in ((0, 1), (2, 1)):
+            got = handoff.hand_off(held, clock, sender, receiver, tomb)
+            want = receive(states[sender], states[receiver])
+            assert (dots(got.clock), dots(got.held), dots(got.tombstone)) == want
+            smaller = handoff.compact(got.held, got.tombstone)[0]
+            assert dots(smaller) == dots(got.visible) == compacted(want)[1]
+            # The receiver then reads what a merged read of both would have given.
+            visible = [s[1] - s[2] for s in (states[sender], states[receiver])]
+            merged = {d for d in visible[0] | visible[1] if all(d in v or d not in s[0] for v, s in zip(visible, (states[sender], states[receiver]), strict=True))}
+            assert dots(got.visible) == merged
+        plain = [(s[0], s[1] - s[2], set()) for s in states]
+        held, clock, _ = frames(spark, plain)
+        many = handoff.hand_off_many(held, clock, (0, 2), 1)
+        want = receive(plain[2], receive(plain[0], plain[1]))
+        assert (dots(many.clock), dots(many.held), dots(many.tombstone)) == want
+
+
+def test_runs_of_a_tracker():
+    rng = random.Random(4)
+    from dotloom.streaming import handoff as tracker
+
+    for _ in range(200):
+        a, b = ({rng.randrange(1, 40) for _ in range(rng.randrange(30))} for _ in range(2))
+        runs = [[], []]
+        for k, s in enumerate((a, b)):
+            for x in rng.sample(sorted(s), len(s)):
+                runs[k] = tracker.with_run(runs[k], x, x)
+        assert tracker.counters(runs[0]) == len(a)
+        assert all(x[1] + 1 < y[0] for x, y in zip(runs[0], runs[0][1:], strict=False))
+        left = tracker.without_runs(*runs)
+        assert {n for low, high in left for n in range(low, high + 1)} == a - b
