@@ -312,7 +312,7 @@ def region(rng, n, core=0.5):
 
 def test_cells_join_exactly():
     rng = np.random.default_rng(3)
-    for n, core in ((30, 0.5), (400, 0.5), (400, 0.0), (400, 1.0), (1500, 0.3)):
+    for n, core in ((30, 0.5), (400, 0.5), (400, 0.0), (400, 1.0), (800, 0.3)):
         sets = region(rng, n, core)
         got = jaccard.cell_links(sets, np.ones(n, bool), np.zeros(n, bool), leaf=16, pivots=4)
         shared = jaccard._dense_overlaps(sets, sets)
@@ -336,19 +336,19 @@ def test_cells_join_exactly():
 
 def test_large_regions_split(spark):
     rng = np.random.default_rng(5)
-    sets = region(rng, 1200, 0.4)
+    sets = region(rng, 800, 0.4)
     docs = [(i, " ".join(f"x{t}" for t in s.tolist())) for i, s in enumerate(sets)]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
     nodes, texts = jaccard.shingle_nodes(df)
     parts = []
-    for weight in (jaccard.CELL, 120_000, 20_000):
+    for weight in (jaccard.CELL, 20_000):
         roots = components.connected_components(jaccard.near_links(texts, nodes, weight))
         named = nodes.join(roots, "node", "left").select("doc_id", F.hex(F.coalesce("root", "node")).alias("root")).collect()
         groups = defaultdict(set)
         for r in named:
             groups[r.root].add(r.doc_id)
         parts.append(set(map(frozenset, groups.values())))
-    assert parts[0] == parts[1] == parts[2] and len(parts[0]) > 6
+    assert parts[0] == parts[1] and len(parts[0]) > 6
     truth = defaultdict(set)
     for d, _, c in brute_near(docs):
         truth[c].add(d)
